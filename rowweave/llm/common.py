@@ -61,3 +61,16 @@ def words(text: Column) -> Column:
 def bucket_of(doc_id: Column, modulus: int = 5) -> Column:
     """crc32 of the id as text, modulo the folds; null for null."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written to the shared folder as Parquet and read back; columns that aren't needed aren't read again."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def token_list(text: Column) -> Column:
+    """Lower-cased runs of anything but white space; none for null."""
+    return F.regexp_extract_all(F.coalesce(lowered(text), F.lit("")), F.lit(TOKEN), F.lit(0))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing
+from . import decontaminate, langid, mixing, ppm
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": langid.op1_language_id,
         "op4_decontamination": decontaminate.op4_decontamination,
+        "op8_lm_scoring": ppm.op8_lm_scoring,
         "op10_mixing": mixing.op10_mixing,
     }
 
