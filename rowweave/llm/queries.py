@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, mixing, ppm
+from . import decontaminate, forest, langid, mixing, ppm, transport
 
 
 def queries() -> dict:
     return {
         "op1_language_id": langid.op1_language_id,
+        "op2_media": transport.op2_media,
+        "op3_jaccard_join": forest.op3_jaccard_join,
         "op4_decontamination": decontaminate.op4_decontamination,
         "op8_lm_scoring": ppm.op8_lm_scoring,
         "op10_mixing": mixing.op10_mixing,
