@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, forest, langid, mixing, ppm, transport
+from . import decontaminate, forest, langid, mixing, ppm, transport, webtext
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_media": transport.op2_media,
         "op3_jaccard_join": forest.op3_jaccard_join,
         "op4_decontamination": decontaminate.op4_decontamination,
+        "op5_html_extraction": webtext.op5_html_extraction,
         "op8_lm_scoring": ppm.op8_lm_scoring,
         "op10_mixing": mixing.op10_mixing,
     }
