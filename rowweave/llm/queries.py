@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, forest, langid, licences, mixing, ppm, shards, transport, webtext
+from . import chains, decontaminate, forest, langid, licences, mixing, ppm, shards, transport, webtext
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_decontamination": decontaminate.op4_decontamination,
         "op5_html_extraction": webtext.op5_html_extraction,
         "op6_sharding": shards.op6_sharding,
+        "op7_substring_dedup": chains.op7_substring_dedup,
         "op8_lm_scoring": ppm.op8_lm_scoring,
         "op9_licence_scan": licences.op9_licence_scan,
         "op10_mixing": mixing.op10_mixing,
