@@ -42,8 +42,9 @@ def union_of(node: Node) -> tuple[list[tuple[int, Node]], int | None]:
     return [(i, b) for i, b in enumerate(node.branches) if i != null], null
 
 
-def spark_type(schema: Schema, node: Node | None = None, max_depth: int = 0, raw: frozenset[str] = frozenset(), above: tuple[str, ...] = ()) -> T.DataType:
-    """The type of the column that holds node's values. raw: logical types whose plain values are wanted."""
+def spark_type(schema: Schema, node: Node | None = None, max_depth: int = 0, raw: frozenset[str] = frozenset(), above: tuple[str, ...] = (), described: bool = False) -> T.DataType:
+    """The type of the column that holds node's values. raw: logical types whose plain values are wanted. described: fields
+    are nullable only where the schema has null, and have metadata; else all are nullable, as they come from Arrow."""
     node = schema.root if node is None else node
     if node.kind == "ref" or node.kind == "record":
         target = schema.of(node)
@@ -54,9 +55,9 @@ def spark_type(schema: Schema, node: Node | None = None, max_depth: int = 0, raw
                 raise SchemaError(f"{target.name} is recursive: say how deep values may be by max_depth")
             above = (*above, target.name)
         node = target
-    deeper = lambda n: spark_type(schema, n, max_depth, raw, above)
+    deeper = lambda n: spark_type(schema, n, max_depth, raw, above, described)
     if node.kind == "record":
-        return T.StructType([T.StructField(f.name, deeper(f.type), is_nullable(schema, f.type), metadata(schema, f.type)) for f in node.fields])
+        return T.StructType([T.StructField(f.name, deeper(f.type), not described or is_nullable(schema, f.type), metadata(schema, f.type) if described else None) for f in node.fields])
     if node.kind == "union":
         members, null = union_of(node)
         if not members:
@@ -65,9 +66,9 @@ def spark_type(schema: Schema, node: Node | None = None, max_depth: int = 0, raw
             return deeper(members[0][1])
         return T.StructType([T.StructField(f"member{k}", deeper(b), True) for k, (_, b) in enumerate(members)])
     if node.kind == "array":
-        return T.ArrayType(deeper(node.items), is_nullable(schema, node.items))
+        return T.ArrayType(deeper(node.items), not described or is_nullable(schema, node.items))
     if node.kind == "map":
-        return T.MapType(T.StringType(), deeper(node.items), is_nullable(schema, node.items))
+        return T.MapType(T.StringType(), deeper(node.items), not described or is_nullable(schema, node.items))
     if node.logical and node.logical not in raw:
         if node.logical == "decimal" and node.precision <= 38:
             return T.DecimalType(node.precision, node.scale)
