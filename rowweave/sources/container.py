@@ -76,6 +76,8 @@ CODECS: dict[str, tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]] = {
     "zstandard": (_zstd, _unzstd),
 }
 
+BUILT_IN = dict(CODECS)
+
 
 def register_codec(name: str, compress: Callable[[bytes], bytes], decompress: Callable[[bytes], bytes]) -> None:
     """Add a codec, or put another in the place of one. Sources take those that are known when they are set up."""

@@ -86,6 +86,9 @@ def _record(schema: Schema) -> Schema:
 
 
 class OcfDataSource(DataSource):
+    #: Codecs besides the built-in ones; they travel with the class to Spark's Python processes.
+    codecs: dict = {}
+
     @classmethod
     def name(cls) -> str:
         return "ocf"
@@ -99,16 +102,16 @@ class OcfDataSource(DataSource):
         return spark_type(_record(reader or writer), None, int(o.get("maxdepth", 0)), _raw(o))
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return OcfReader(schema, self._options())
+        return OcfReader(schema, self._options(), self.codecs)
 
     def streamReader(self, schema: T.StructType) -> DataSourceStreamReader:
-        return OcfStreamReader(schema, self._options())
+        return OcfStreamReader(schema, self._options(), self.codecs)
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return OcfWriter(schema, {k: v for k, v in self.options.items()}, overwrite)
+        return OcfWriter(schema, dict(self.options.items()), overwrite, self.codecs)
 
     def streamWriter(self, schema: T.StructType, overwrite: bool) -> DataSourceStreamArrowWriter:
-        return OcfStreamWriter(schema, {k: v for k, v in self.options.items()})
+        return OcfStreamWriter(schema, dict(self.options.items()), self.codecs)
 
 
 def _raw(o: dict) -> frozenset[str]:
@@ -118,8 +121,8 @@ def _raw(o: dict) -> frozenset[str]:
 class _Scan:
     """What readers of batches and streams share."""
 
-    def __init__(self, schema: T.StructType, o: dict):
-        self.names, self.o, self.codecs = schema.names, o, dict(container.CODECS)
+    def __init__(self, schema: T.StructType, o: dict, codecs: dict):
+        self.names, self.o, self.codecs = schema.names, o, container.CODECS | codecs
         self.max_block = int(o.get("maxblockbytes", container.MAX_BLOCK_BYTES))
         self.split = int(o.get("splitbytes", SPLIT_BYTES))
 
@@ -258,8 +261,8 @@ def skipper(schema: Schema, node: Node, known: dict | None = None) -> Callable[[
 
 
 class OcfReader(DataSourceReader):
-    def __init__(self, schema: T.StructType, o: dict):
-        self.scan = _Scan(schema, o)
+    def __init__(self, schema: T.StructType, o: dict, codecs: dict):
+        self.scan = _Scan(schema, o, codecs)
 
     def partitions(self) -> list[InputPartition]:
         found = [s for f in files_below(self.scan.o["path"]) for s in self.scan.splits(f.path)]
@@ -273,8 +276,8 @@ class OcfReader(DataSourceReader):
 class OcfStreamReader(DataSourceStreamReader):
     """New files of a folder, in the order of the time when they were written. A file must come whole (as by renaming)."""
 
-    def __init__(self, schema: T.StructType, o: dict):
-        self.scan = _Scan(schema, o)
+    def __init__(self, schema: T.StructType, o: dict, codecs: dict):
+        self.scan = _Scan(schema, o, codecs)
 
     def initialOffset(self) -> dict:
         return {"time": 0, "path": ""}
@@ -307,7 +310,7 @@ class Written(WriterCommitMessage):
 class OcfWriter(DataSourceArrowWriter):
     """A file for each task, written under a hidden name and renamed when all tasks are done."""
 
-    def __init__(self, schema: T.StructType, options: dict, overwrite: bool):
+    def __init__(self, schema: T.StructType, options: dict, overwrite: bool, codecs: dict):
         o = {k.lower(): v for k, v in options.items()}
         self.path, self.overwrite, self.job = o["path"], overwrite, uuid.uuid4().hex
         self.pre_encoded = o.get("preencoded", "false").lower() == "true"
@@ -318,7 +321,7 @@ class OcfWriter(DataSourceArrowWriter):
         if mode not in ("full", "canonical"):
             raise ContainerError(f"unknown schemaMode {mode!r}")
         self.text = self.schema.canonical() if mode == "canonical" else (o.get("avroschema") or self.schema.to_json())
-        self.codec, self.codecs = o.get("codec", "null"), dict(container.CODECS)
+        self.codec, self.codecs = o.get("codec", "null"), container.CODECS | codecs
         if self.codec not in self.codecs:
             raise ContainerError(f"unknown codec {self.codec!r}")
         self.block_bytes, self.block_count = int(o.get("blockbytes", container.BLOCK_BYTES)), int(o.get("blockcount", 0))
@@ -387,8 +390,8 @@ class OcfWriter(DataSourceArrowWriter):
 class OcfStreamWriter(DataSourceStreamArrowWriter):
     """The files of a batch are named after it: a batch that is committed twice stays one."""
 
-    def __init__(self, schema: T.StructType, options: dict):
-        self.inner = OcfWriter(schema, options, False)
+    def __init__(self, schema: T.StructType, options: dict, codecs: dict):
+        self.inner = OcfWriter(schema, options, False, codecs)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         return self.inner.write(iterator)
@@ -412,7 +415,8 @@ class OcfStreamWriter(DataSourceStreamArrowWriter):
 
 
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(OcfDataSource)
+    own = {k: v for k, v in container.CODECS.items() if v != container.BUILT_IN.get(k)}
+    spark.dataSource.register(type("OcfDataSource", (OcfDataSource,), {"codecs": own}) if own else OcfDataSource)
 
 
 def read_ocf(spark: SparkSession, path: str, reader_schema: Schema | str | None = None, columns: list[str] | None = None, reader_schema_fn: Callable[[container.Header], Schema | str | None] | None = None, custom: tuple[CustomType, ...] = (), **options: Any) -> DataFrame:
