@@ -29,7 +29,7 @@ def encode_avro(column: Column | str, schema: Schema | str, custom: tuple[Custom
     unless the schema has null. What doesn't fit is an error, never garbage."""
     schema = as_schema(schema)
     column = F.col(column) if isinstance(column, str) else column
-    column = encoded(schema, column, custom)
+    column = _zeros_omitted(schema, encoded(schema, column, custom))
 
     @F.arrow_udf(T.BinaryType())
     def run(values: pa.Array) -> pa.Array:
@@ -38,6 +38,19 @@ def encode_avro(column: Column | str, schema: Schema | str, custom: tuple[Custom
     return run(column)
 
 
+def _zeros_omitted(schema: Schema, column: Column) -> Column:
+    """Zeros, empty strings and false as null in the root's nullable fields that say omitzero."""
+    root = schema.of(schema.root)
+    for f in root.fields:
+        members = union_of(schema.of(f.type))[0] if schema.of(f.type).kind == "union" else []
+        if f.props.get("omitzero") and len(members) == 1:
+            kind = schema.of(members[0][1]).kind
+            zero = {"boolean": False, "string": "", "bytes": bytearray()}.get(kind, 0)
+            if kind in ("boolean", "int", "long", "float", "double", "string", "bytes"):
+                column = column.withField(f.name, F.nullif(column.getField(f.name), F.lit(zero)))
+    return column
+
+
 def _reader(writer: Schema, reader: Schema | str | None, columns: list[str] | None) -> Schema | None:
     reader = None if reader is None else as_schema(reader)
     return pruned(reader or writer, columns) if columns else reader

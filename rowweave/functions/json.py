@@ -18,7 +18,7 @@ from ..errors import DataError
 from ..operators.decode import decode_column
 from ..operators.encode import encode_column
 from ..operators.rows import decode, default_value, encode
-from ..plans.mapping import spark_type
+from ..plans.mapping import is_nullable, spark_type, union_of
 from ..plans.resolve import plan
 from ..plans.schema import Node, Schema
 from .codec import as_schema
@@ -37,9 +37,12 @@ class Style:
 
 
 def encode_json(column: Column | str, schema: Schema | str, tagged: bool = False, tag_logical: bool = False, linkedin_floats: bool = False) -> Column:
-    """Each value as JSON text. Plain records (numbers, booleans, strings, nested) stay in the JVM; else one Arrow hop."""
+    """Each value as JSON text; null for a null row of a schema without null. Schemas of booleans, whole numbers, strings, enums,
+    records, arrays, maps and nullable types stay in the JVM; bytes, decimals, floats and other unions take one Arrow hop."""
     schema, style = as_schema(schema), Style(tagged, tag_logical, linkedin_floats)
     c = F.col(column) if isinstance(column, str) else column
+    if (text := _native(schema, schema.root, c, style, ())) is not None:
+        return text if is_nullable(schema, schema.root) else F.when(c.isNotNull(), text)
 
     @F.arrow_udf(T.StringType())
     def run(values: pa.Array) -> pa.Array:
@@ -50,6 +53,84 @@ def encode_json(column: Column | str, schema: Schema | str, tagged: bool = False
     return run(c)
 
 
+def _native(schema: Schema, node: Node, c: Column, style: Style, above: tuple[str, ...]) -> Column | None:
+    """JSON text as an expression; None if the schema has what needs the codec. Nulls where there can be none are errors."""
+    node = schema.of(node)
+    if node.kind == "union":
+        members, null = union_of(node)
+        if null is None or len(members) != 1:
+            return None
+        branch = schema.of(members[0][1])
+        text = _native(schema, branch, c, style, above)
+        if text is not None and style.tagged:
+            text = F.concat(F.lit("{" + quoted(branch_name(branch, style.tag_logical)) + ":"), text, F.lit("}"))
+        return None if text is None else F.when(c.isNull(), F.lit("null")).otherwise(text)
+    if node.logical or node.name in above:
+        return None
+    need = lambda text: F.when(c.isNotNull(), text).otherwise(F.raise_error(F.lit(f"null isn't a {node.label()}")).cast("string"))
+    if node.kind in ("boolean", "int", "long"):
+        return need(c.cast(node.kind if node.kind == "boolean" else "bigint").cast("string"))
+    if node.kind == "string":
+        return need(_quoted(c))
+    if node.kind == "enum":
+        return need(F.when(c.isin(*node.symbols), F.concat(F.lit('"'), c, F.lit('"'))).otherwise(F.raise_error(F.lit(f"not a symbol of {node.name}")).cast("string")))
+    if node.kind == "array":
+        probe = _native(schema, node.items, F.lit(None).cast(spark_type(schema, node.items)), style, above)
+        return None if probe is None else need(F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: _native(schema, node.items, x, style, above)), ","), F.lit("]")))
+    if node.kind == "map":
+        probe = _native(schema, node.items, F.lit(None).cast(spark_type(schema, node.items)), style, above)
+        pair = lambda e: F.concat(_quoted(e["key"]), F.lit(":"), _native(schema, node.items, e["value"], style, above))
+        return None if probe is None else need(F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(c), pair), ","), F.lit("}")))
+    if node.kind == "record":
+        parts = [_native(schema, f.type, c.getField(f.name), style, (*above, node.name)) for f in node.fields]
+        if any(p is None for p in parts):
+            return None
+        text = [x for i, (f, p) in enumerate(zip(node.fields, parts, strict=True)) for x in (F.lit(("," if i else "{") + quoted(f.name) + ":"), p)]
+        return need(F.concat(*(text or [F.lit("{")]), F.lit("}")))
+    return None
+
+
+def _quoted(c: Column) -> Column:
+    """A string with what must be escaped escaped, as quoted() does."""
+    text = F.to_json(F.struct(c.alias("s")))
+    text = F.substr(text, F.lit(6), F.length(text) - 6)
+    odd = text
+    for x in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):  # the JVM writes these in upper case
+        odd = F.replace(odd, F.lit(f"\\u{x:04X}"), F.lit(f"\\u{x:04x}"))
+    for x in (0x2028, 0x2029, 0xFFFD):
+        odd = F.replace(odd, F.lit(chr(x)), F.lit(f"\\u{x:04x}"))
+    return F.when(c.rlike("[\\x0B\\x0E\\x0F\\x1A-\\x1F\\u2028\\u2029\\uFFFD]"), odd).otherwise(text)
+
+
+def avro_to_json(column: Column | str, schema: Schema | str, tagged: bool = False, tag_logical: bool = False, linkedin_floats: bool = False) -> Column:
+    """Encoded bytes as JSON text, without a Spark type between: recursive values of any depth, too."""
+    schema, style = as_schema(schema), Style(tagged, tag_logical, linkedin_floats)
+
+    @F.arrow_udf(T.StringType())
+    def run(values: pa.Array) -> pa.Array:
+        out = []
+        for b in values.to_pylist():
+            if b is not None:
+                value, at = decode(schema, schema.root, b)
+                if at != len(b):
+                    raise DataError("", f"{len(b) - at} bytes are left over")
+            out.append(None if b is None else dumps(schema, schema.root, value, style))
+        return pa.array(out, pa.string())
+
+    return run(F.col(column) if isinstance(column, str) else column)
+
+
+def json_to_avro(column: Column | str, schema: Schema | str) -> Column:
+    """JSON text as encoded bytes; a union takes the branch that is named, else the first that the value fits."""
+    schema = as_schema(schema)
+
+    @F.arrow_udf(T.BinaryType())
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else encode(schema, schema.root, loads(schema, schema.root, _read(t))) for t in values.to_pylist()], pa.binary())
+
+    return run(F.col(column) if isinstance(column, str) else column)
+
+
 def decode_json(column: Column | str, schema: Schema | str, mode: str = "failfast") -> Column:
     """Values of JSON text. Unknown keys are passed over; a field that is missing takes its default, without one it is an
     error. permissive: null for texts that can't be read."""

@@ -200,7 +200,7 @@ def schema_for(cls: type, name: str | None = None, namespace: str = "") -> Schem
     """The schema of a dataclass. Tags are the metadata "avro" of a field: a string of options between commas.
 
     name=..., default=... (last; JSON, else a string), alias=..., type-alias=..., a logical type, decimal(p,s), uuid, fixed(n),
-    int, float, inline, -. An option that isn't known is an error. T | None is a union with null, the default.
+    int, float, inline, omitzero (a zero is written as null), -. An option that isn't known is an error. T | None is a union with null, the default.
     """
     done: dict[type, str] = {}
 
@@ -227,6 +227,8 @@ def schema_for(cls: type, name: str | None = None, namespace: str = "") -> Schem
                 one["default"] = None
             if "alias" in tags:
                 one["aliases"] = tags["alias"]
+            if "omitzero" in tags:
+                one["omitzero"] = True
             if "default" in tags:
                 one["default"] = tags["default"]
                 if isinstance(kind, list) and tags["default"] is not None:
@@ -298,7 +300,7 @@ def _tags(text: str) -> dict:
             out["decimal"] = (int(p), int(s or 0))
         elif key.startswith("fixed("):
             out["fixed"] = int(key[6:-1])
-        elif key in ("uuid", "inline", "-", "int", "float"):
+        elif key in ("uuid", "inline", "-", "int", "float", "omitzero"):
             out[key] = True
         elif key in _LOGICAL or key == "timestamp-nanos" or key.startswith("local-timestamp-"):
             out["logical"] = key

@@ -35,6 +35,20 @@ def is_compatible(writer: Schema, reader: Schema) -> bool:
     return True
 
 
+def compatibility_table(spark, schemas: dict[str, Schema]):
+    """writer, reader, compatible, detail for all pairs of some schemas (by name), as a DataFrame."""
+
+    def detail(w: Schema, r: Schema) -> str | None:
+        try:
+            check_compatibility(w, r)
+        except CompatibilityError as e:
+            return str(e)
+        return None
+
+    rows = [(a, b, detail(w, r)) for a, w in schemas.items() for b, r in schemas.items()]
+    return spark.createDataFrame([(a, b, d is None, d) for a, b, d in rows], "writer string, reader string, compatible boolean, detail string")
+
+
 def kinds_match(w: Node, r: Node) -> bool:
     return w.kind == r.kind or r.kind in PROMOTIONS.get(w.kind, ())
 

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .custom import CustomType
-from .functions import decode_avro, decode_json, decode_many, decode_soe, encode_avro, encode_json, encode_soe, evolve, is_soe, read_versions, soe_fingerprint, soe_payload, try_decode_avro
+from .functions import avro_to_json, decode_avro, decode_json, decode_many, decode_soe, encode_avro, encode_json, encode_soe, evolve, is_soe, json_to_avro, read_versions, soe_fingerprint, soe_payload, try_decode_avro
 from .functions import logical as L
 from .functions.codec import rabin64
 from .plans.mapping import schema_from_struct
-from .plans.resolve import is_compatible
+from .plans.resolve import compatibility_table
 from .plans.schema import PRIMITIVES, parse
 from .sources import metadata, read_ocf, write_ocf
 
@@ -330,13 +330,12 @@ def evolve_projection(spark, d):
     return table(spark, d, "events").select(evolve(F.struct("event_id", "user_id"), w, r).alias("v")).select("v.*")
 
 
-_KINDS = [p for p in PRIMITIVES]
-_PROMOTED = {("int", "long"), ("int", "float"), ("int", "double"), ("long", "float"), ("long", "double"), ("float", "double"), ("string", "bytes"), ("bytes", "string")} | {(k, k) for k in _KINDS}
+_KINDS = list(PRIMITIVES)
 
 
 @query("SELECT w AS writer, r AS reader, w = r OR (w, r) IN (('int','long'),('int','float'),('int','double'),('long','float'),('long','double'),('float','double'),('string','bytes'),('bytes','string')) AS ok FROM (SELECT unnest(['null','boolean','int','long','float','double','bytes','string']) AS w), (SELECT unnest(['null','boolean','int','long','float','double','bytes','string']) AS r)")
 def compat_matrix(spark, d):
-    return spark.createDataFrame([(w, r, is_compatible(parse(w), parse(r))) for w in _KINDS for r in _KINDS], "writer string, reader string, ok boolean")
+    return compatibility_table(spark, {k: parse(k) for k in _KINDS}).select("writer", "reader", F.col("compatible").alias("ok"))
 
 
 # fingerprints
@@ -622,6 +621,22 @@ def json_special_floats(spark, d):
     return j.select("event_id", "j", encode_json(decode_json("j", schema), schema, linkedin_floats=True).alias("l"))
 
 
+@query("""SELECT event_id, '{"id":' || event_id || ',"next":{"id":' || user_id || ',"next":null}}' AS j FROM events""")
+def json_recursive(spark, d):
+    """A recursive value from JSON to bytes and back."""
+    schema = record("N", ("id", "long"), ("next", NULLABLE("N")))
+    j = F.concat(F.lit('{"id":'), "event_id", F.lit(',"next":{"N":{"id":'), "user_id", F.lit(',"next":null}}}'))
+    raw = table(spark, d, "events").select("event_id", json_to_avro(j, schema).alias("b"))
+    return raw.select("event_id", avro_to_json("b", schema).alias("j"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN event_id % 3 END AS n, CASE WHEN event_id % 2 <> 0 THEN event_type END AS s FROM events")
+def omit_zeros(spark, d):
+    schema = record("Z", ("event_id", "long"), ("n", NULLABLE("long"), {"omitzero": True}), ("s", NULLABLE("string"), {"omitzero": True}))
+    df = table(spark, d, "events").select("event_id", (F.col("event_id") % 3).alias("n"), F.when(F.col("event_id") % 2 != 0, F.col("event_type")).otherwise("").alias("s"))
+    return trip(df, schema)
+
+
 @query("SELECT doc_id, md5(text) AS h, lang FROM documents")
 def json_roundtrip(spark, d):
     df = table(spark, d, "documents").select("doc_id", "text", "lang")

@@ -66,6 +66,27 @@ def test_json_columns(spark):
     assert one(spark, encode_json(F.struct(F.lit(None).cast("int").alias("a")), rec(("a", ["null", "int"])))) == ('{"a":null}',)
 
 
+def test_native_json_equals_the_codec(spark):
+    from rowweave.functions.json import _native
+    from rowweave.plans.mapping import arrow_type, spark_type
+    from rowweave.operators.encode import encode_column
+    import pyarrow as pa
+
+    s = parse(rec(("s", "string"), ("n", ["null", "int"]), ("b", ["boolean", "null"]), ("e", {"type": "enum", "name": "E", "symbols": ["A"]}), ("a", {"type": "array", "items": ["null", "string"]}), ("m", {"type": "map", "values": {"type": "record", "name": "In", "fields": [{"name": "x", "type": "long"}]}}), ("r", {"type": "record", "name": "No", "fields": []})))
+    text = "".join(map(chr, range(0x80))) + "é\u2028\u2029\ufffd😀\\/"
+    values = [{"s": text, "n": 5, "b": None, "e": "A", "a": [None, text, ""], "m": [("k\x1f", {"x": -1})], "r": {}}, {"s": "", "n": None, "b": True, "e": "A", "a": [], "m": [], "r": {}}]
+    raw = encode_column(s, pa.array(values, arrow_type(spark_type(s)))).to_pylist()
+    for tagged in (False, True):
+        want = [dumps(s, s.root, rows.decode(s, s.root, b)[0], Style(tagged)) for b in raw]
+        df = spark.createDataFrame([(b,) for b in raw], "b binary").select(decode_avro("b", s).alias("v"))
+        assert _native(s, s.root, F.col("v"), Style(tagged), ()) is not None
+        assert [r[0] for r in df.select(encode_json("v", s, tagged=tagged)).collect()] == want
+        assert [json.loads(w) for w in want]
+    with pytest.raises(Exception, match="null isn't a int"):
+        one(spark, encode_json(F.struct(F.lit(None).cast("int").alias("a")), rec(("a", "int"))))
+    assert one(spark, encode_json(F.lit(None).cast("struct<a:int>"), rec(("a", "int")))) == (None,)
+
+
 def test_logical(spark):
     d = F.struct(*(F.lit(v).cast("long").alias(k) for k, v in (("months", 15), ("days", 15), ("millis", 5400500))))
     zero = F.struct(*(F.lit(0).cast("long").alias(k) for k in ("months", "days", "millis")))
