@@ -15,6 +15,9 @@ _BASE = U64(0x9E3779B97F4A7C15)
 _INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[0x30:0x3A] = _IN_WORD[0x41:0x5B] = _IN_WORD[0x61:0x7B] = _IN_WORD[0x80:] = True
+#: What tokens consist of: anything but white space.
+IN_TOKEN = np.ones(256, bool)
+IN_TOKEN[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _powers = {_BASE: np.ones(1, U64), _INVERSE: np.ones(1, U64)}
@@ -55,12 +58,12 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return _powers[base]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-cased words (runs of 0-9, a-z, beyond ASCII), and the offsets of each text's words."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, of: np.ndarray = _IN_WORD) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-cased words (runs of 0-9, a-z, beyond ASCII; of such bytes), and the offsets of each text's words."""
     n = len(data)
     if not n:
         return np.empty(0, U64), np.zeros(len(offsets), np.int64)
-    inside = _IN_WORD[data]
+    inside = of[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.empty(n, bool)

@@ -14,16 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrays, common
 
 ORDER = 5
 MAX_ENTRIES = 1 << 20
-#: Tokens that are broadcast: those with more than one HOT_TOKENS-th of all tokens, of at most HOT_LENGTH characters.
-HOT_TOKENS = 1 << 17
-HOT_LENGTH = 64
+#: Tokens whose counts are broadcast: those with more than one HOT_TOKENS-th of all tokens, so fewer than HOT_TOKENS.
+HOT_TOKENS = 1 << 19
 END = 0xFF  # never a byte of UTF-8
 U64 = np.uint64
 
@@ -47,38 +46,57 @@ def gram_keys(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.nda
     return rolled[place], at
 
 
-def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """gram, n over all texts of docs (text)."""
+GRAM, TOKEN = 0, 1
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ns = [np.empty(0, U64)], [np.empty(0, np.int64)]
 
-        def merged():
-            k, n = np.concatenate(keys), np.concatenate(ns)
-            by = np.argsort(k, kind="stable")
-            k, n = k[by], n[by]
-            first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.empty(0, np.int64)
-            return [k[first]], [np.add.reduceat(n, first) if len(first) else n]
+def gather(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """kind (GRAM or TOKEN), key, n: how often each n-gram and each token (by its 64-bit hash) is in all texts of docs (text)."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = {GRAM: _Counts(), TOKEN: _Counts()}
         for batch in batches:
             for _, _, data, offsets in arrays.blocks(batch.column(0)):
-                k, n = np.unique(gram_keys(data, offsets, order)[0], return_counts=True)
-                keys.append(k)
-                ns.append(n)
-                if sum(map(len, keys)) > max(1 << 21, 3 * len(keys[0])):
-                    keys, ns = merged()
-            if len(keys[0]) > 1 << 22:
-                keys, ns = merged()
-                yield from out(keys[0], ns[0])
-                keys, ns = [np.empty(0, U64)], [np.empty(0, np.int64)]
-        keys, ns = merged()
-        yield from out(keys[0], ns[0])
-
-    def out(k: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(k), 1 << 18):
-            yield pa.RecordBatch.from_arrays([pa.array(k[i : i + (1 << 18)].view(np.int64)), pa.array(n[i : i + (1 << 18)])], ["gram", "n"])
+                kept[GRAM].add(gram_keys(data, offsets, order)[0])
+                kept[TOKEN].add(arrays.word_hashes(data, offsets, arrays.IN_TOKEN)[0])
+            for kind, counts in kept.items():
+                if counts.large():
+                    yield from counts.out(kind)
+        for kind, counts in kept.items():
+            yield from counts.out(kind)
+
+    return common.pick(docs, "text").mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+
+class _Counts:
+    """How often keys came: sorted runs that are merged when they have grown."""
 
-    return common.pick(docs, "text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    def __init__(self):
+        self.keys, self.n = [np.empty(0, U64)], [np.empty(0, np.int64)]
+
+    def add(self, keys: np.ndarray) -> None:
+        k, n = np.unique(keys, return_counts=True)
+        self.keys.append(k)
+        self.n.append(n)
+        if sum(map(len, self.keys)) > max(1 << 20, 3 * len(self.keys[0])):
+            self.merge()
+
+    def merge(self) -> None:
+        k, n = np.concatenate(self.keys), np.concatenate(self.n)
+        by = np.argsort(k, kind="stable")
+        k, n = k[by], n[by]
+        first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.empty(0, np.int64)
+        self.keys, self.n = [k[first]], [np.add.reduceat(n, first) if len(first) else n]
+
+    def large(self) -> bool:
+        return len(self.keys[0]) > 1 << 21
+
+    def out(self, kind: int) -> Iterator[pa.RecordBatch]:
+        self.merge()
+        (k,), (n,) = self.keys, self.n
+        for i in range(0, len(k), 1 << 18):
+            j = min(len(k), i + (1 << 18))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, kind, np.int32)), pa.array(k[i:j].view(np.int64)), pa.array(n[i:j])], ["kind", "key", "n"])
+        self.__init__()
 
 
 class Trie:
@@ -144,9 +162,9 @@ class Trie:
         return out
 
 
-def fit(docs: DataFrame, order: int = ORDER, most: int = MAX_ENTRIES) -> Trie:
-    """The trie of all texts of docs (text); null is empty. Without any row, all bytes are equally likely."""
-    counts = common.store(count_grams(docs, order), "grams")
+def fit(counts: DataFrame, order: int = ORDER, most: int = MAX_ENTRIES) -> Trie:
+    """The trie of what gather() counted. Without any text, all bytes are equally likely."""
+    counts = counts.where(F.col("kind") == GRAM).select(F.col("key").alias("gram"), "n")
     total = counts.agg(F.sum("n")).first()[0] or 0
     each = counts.select(F.explode(F.sequence(F.lit(0), F.lit(order))).alias("k"), "gram", "n")
     masks = F.element_at(F.array(*(F.lit((1 << 8 * (k + 1)) - 1) for k in range(order + 1))), F.col("k") + 1)
@@ -156,54 +174,92 @@ def fit(docs: DataFrame, order: int = ORDER, most: int = MAX_ENTRIES) -> Trie:
     return Trie([(gram[k == i].view(U64), n[k == i]) for i in range(order + 1)])
 
 
-def score(docs: DataFrame, trie: Trie, *keep: str) -> DataFrame:
-    """keep and score: log10 of the probability of each whole text (null: empty) and its end."""
-    shared = docs.sparkSession.sparkContext.broadcast(trie)
+class Unigrams:
+    """The base model: counts of tokens. Frequent ones are in a table that every task has; of the others the counts stay in
+    Spark."""
+
+    def __init__(self, counts: DataFrame, ends: int, hot: int = HOT_TOKENS):
+        self.counts = counts.where(F.col("kind") == TOKEN).select(F.col("key").alias("token"), F.col("n").alias("c"))
+        words, distinct = self.counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+        self.n, self.v, self.ends = words + ends, distinct + (ends > 0), ends
+        got = self.counts.where(F.col("c") * hot > self.n).toArrow()
+        self.hot = arrays.Lookup(got["token"].to_numpy().view(U64))
+        self.hot_logs = self.log(got["c"].to_numpy())
+
+    def log(self, c):
+        """log10 of the smoothed share of a token that came c times; c is a number, an array or a column."""
+        share = (c + 0.5) / (self.n + 0.5 * (self.v + 1))
+        return np.log10(share) if not isinstance(share, Column) else F.log10(share)
+
+
+def score(docs: DataFrame, trie: Trie, unigrams: Unigrams, *keep: str) -> DataFrame:
+    """keep; score: log10 of the probability of each whole text (null: empty) and its end; n_tokens, and of its end and
+    frequent tokens n_known and base_score."""
+    shared = docs.sparkSession.sparkContext.broadcast((trie, unigrams.hot, unigrams.hot_logs, float(unigrams.log(unigrams.ends)), int(unigrams.ends > 0)))
     docs = common.pick(docs, *dict.fromkeys((*keep, "text")))
     text_at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model, hot, logs, end_log, end_known = shared.value
         for batch in batches:
-            found = [np.empty(0)]
+            found, tokens, known, base = [np.empty(0)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
             for _, _, data, offsets in arrays.blocks(batch.column(text_at), arrays.BLOCK >> 1):
                 keys, at = gram_keys(data, offsets, model.order)
                 found.append(arrays.summed(model.scores(keys), at))
+                words, at = arrays.word_hashes(data, offsets, arrays.IN_TOKEN)
+                place = hot.find(words)
+                tokens.append(np.diff(at) + 1)
+                known.append(arrays.summed((place >= 0).astype(np.int64), at) + end_known)
+                base.append(arrays.summed(np.where(place >= 0, logs[place] if len(logs) else 0.0, 0.0), at) + end_log)
             out = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(np.concatenate(found))], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*out, *(pa.array(np.concatenate(x)) for x in (found, tokens, known, base))], [*keep, "score", "n_tokens", "n_known", "base_score"])
 
-    return docs.mapInArrow(run, docs.select(*keep).schema.add("score", "double"))
+    return docs.mapInArrow(run, docs.select(*keep).schema.add("score", "double").add("n_tokens", "long").add("n_known", "long").add("base_score", "double"))
 
 
-def token_scores(docs: DataFrame, train: DataFrame) -> DataFrame:
-    """key (md5 of a text of docs), n_tokens, n_known, train_tokens and base_score, for docs and train (text).
+def rare_tokens(docs: DataFrame, unigrams: Unigrams) -> DataFrame:
+    """key, token, n: how often the tokens that aren't frequent are in the texts of docs (key, text)."""
+    shared = docs.sparkSession.sparkContext.broadcast(unigrams.hot)
 
-    Frequent tokens (at most HOT_TOKENS, by their share) are looked up in a broadcast table where the text is read; the
-    others meet their counts in a shuffled join.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = shared.value
+        for batch in batches:
+            for i, j, data, offsets in arrays.blocks(batch.column(0)):
+                words, at = arrays.word_hashes(data, offsets, arrays.IN_TOKEN)
+                rare = np.flatnonzero(hot.find(words) < 0)
+                of, words = np.repeat(np.arange(i, j), np.diff(at))[rare], words[rare]
+                if len(words):
+                    by = np.lexsort((words, of))
+                    of, words = of[by], words[by]
+                    first = np.flatnonzero(np.concatenate(([True], (words[1:] != words[:-1]) | (of[1:] != of[:-1]))))
+                    n = np.diff(np.append(first, len(words)))
+                    yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(of[first])), pa.array(words[first].view(np.int64)), pa.array(n.astype(np.int32))], ["key", "token", "n"])
+
+    return docs.select("text", "key").mapInArrow(run, "key long, token long, n int")
+
+
+def scored(docs: DataFrame, train: DataFrame, *keep: str) -> DataFrame:
+    """keep, score, n_tokens, n_known, train_tokens and base_score of docs (keep, text), by models of train (text).
+
+    Tokens are told apart by 64-bit hashes. Rows of one text share their scores; null is an empty text.
     """
-    tokens = F.explode(F.concat(common.token_list(F.col("text")), F.array(F.lit(""))))  # "" is the end
-    counts = common.store(common.pick(train, "text").select(tokens.alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")), "tokens")
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    logs = lambda c: F.log10((F.coalesce(c, F.lit(0)) + 0.5) / (n + 0.5 * (v + 1)))
-    is_hot = (F.col("c") * HOT_TOKENS > n) & (F.length("token") <= HOT_LENGTH)
-    each = common.pick(docs, "text").select(F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key"), tokens.alias("token"))
-    hot = F.broadcast(counts.where(is_hot).select("token", F.col("c").alias("hot")))
-    each = each.join(hot, "token", "left")
-    parts = [F.count(F.lit(1)).alias("n_tokens"), F.sum((F.col("c") > 0).cast("long")).alias("n_known"), F.sum(logs(F.col("c"))).alias("base_score"), F.sum((F.col("token") == "").cast("long")).alias("texts")]
-    known = each.where("hot is not null").select("key", "token", F.col("hot").alias("c")).groupBy("key").agg(*parts)
-    rare = each.where("hot is null").select("key", "token").join(counts.where(~is_hot), "token", "left").groupBy("key").agg(*parts)
-    both = known.unionByName(rare).groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "texts")))
-    per_text = [(F.col(c) / F.col("texts")).cast(t).alias(c) for c, t in (("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"))]
-    return both.select("key", *per_text, F.lit(n).cast("long").alias("train_tokens"))
+    counts = common.store(gather(train), "counts")
+    trie, unigrams = fit(counts), Unigrams(counts, train.count())
+    docs = common.pick(docs, *dict.fromkeys((*keep, "text")))
+    docs = docs.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rare = rare_tokens(docs, unigrams).join(unigrams.counts, "token", "left")
+    c = F.coalesce("c", F.lit(0))
+    rare = rare.groupBy("key").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * unigrams.log(c)).alias("base"))
+    rows = score(docs, trie, unigrams, *keep, "key")
+    copies = docs.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))  # the rare tokens of all rows of a text came together
+    rare = rare.join(copies, "key").select("key", (F.col("known") / F.col("copies")).cast("long").alias("known"), (F.col("base") / F.col("copies")).alias("base"))
+    rows = rows.join(rare, "key", "left")
+    known, base = F.col("n_known") + F.coalesce("known", F.lit(0)), F.col("base_score") + F.coalesce("base", F.lit(0.0))
+    return rows.select(*keep, "score", "n_tokens", known.alias("n_known"), F.lit(unigrams.n).cast("long").alias("train_tokens"), base.alias("base_score"))
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.pick(common.table(spark, sf_dir, "documents"), "doc_id", "text")
     fold = common.bucket_of(F.col("doc_id"))
-    train = docs.where(F.coalesce(fold != 1, F.lit(True)))
-    trie = fit(train)
-    scored = docs.select("doc_id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key"))
-    scored = score(scored, trie, "doc_id", "key")
-    return scored.join(token_scores(docs, train), "key").select(
-        "doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
-    )
+    out = scored(docs, docs.where(F.coalesce(fold != 1, F.lit(True))), "doc_id")
+    return out.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
