@@ -169,7 +169,7 @@ def demux(media: bytes | None) -> Stream:
         begins = np.flatnonzero(start[own])
         if len(own) and (not len(begins) or begins[0]):
             out.errors.append("packets before the first start")
-        for a, b in zip(begins, [*begins[1:], len(own)], strict=True):
+        for a, b in zip(begins, [*begins[1:], len(own)]):  # noqa: B905 none if nothing begins
             rows, first = packets[own[a:b]], body_at[own[a:b]]
             if b - a > 2 and (first[1:-1] == 4).all():  # the usual case: only the ends have an adaptation field
                 pes = rows[0, first[0] :].tobytes() + rows[1:-1, 4:].tobytes() + rows[-1, first[-1] :].tobytes()
