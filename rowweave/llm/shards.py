@@ -22,6 +22,7 @@ from . import common
 TARGET_BYTES = 64 << 20
 #: Rows of an arriving file at most; files of a run at least, unless they fill a target-sized file; smallest tier's size.
 ARRIVAL_ROWS, FANOUT, SMALLEST = 2048, 4, 64 << 10
+COMPRESSION = "zstd"
 #: Files of one tier that are put in order in one place when runs are formed.
 PLAN_ROWS = 100_000
 
@@ -30,6 +31,16 @@ class CommitConflict(RuntimeError):
     """Another writer committed that version first; its files are there, ours are not."""
 
 
+def added(names: list[str]) -> list[str]:
+    """What the columns are called that read() adds to columns of these names."""
+    taken, out = {n.lower() for n in names}, []
+    for name in ("_shard", "_shard_bytes", "_shard_rows"):
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 class Store:
     """Rows in files below root (any file system that Spark writes). Columns are stored by place: names may be anything."""
 
@@ -100,12 +111,13 @@ class Store:
         plain = rows.toDF(*(f"c{i}" for i in range(len(rows.columns))))
         if version > 1 and (stored := StructType.fromJson(self._entry(version - 1)["schema"])).simpleString() != plain.schema.simpleString():
             raise ValueError(f"the store holds {stored.simpleString()}, not {plain.schema.simpleString()}")
-        plain.write.option("maxRecordsPerFile", arrival_rows).parquet(job)
+        plain.write.option("maxRecordsPerFile", arrival_rows).option("compression", COMPRESSION).parquet(job)
         manifest = self.manifest(version - 1).unionByName(self._listed(job, version, plain.schema))
         return self._publish(version, manifest, plain.schema, rows.columns)
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version (the last one) with _shard, _shard_bytes and _shard_rows of the file that holds them."""
+        """The rows of a version (the last one) with _shard, _shard_bytes and _shard_rows of the file that holds them; a name
+        that is taken gets more underscores in front."""
         version = self.version() if version is None else version
         entry = self._entry(version)
         schema, live = StructType.fromJson(entry["schema"]), self.manifest(version)
@@ -114,7 +126,7 @@ class Store:
         else:
             rows = self.spark.read.schema(schema).parquet(*entry["jobs"]).select("*", F.col("_metadata.file_path").alias("path"))
         rows = rows.join(live.select("path", F.col("shard").alias("_shard"), F.col("bytes").alias("_shard_bytes"), F.col("rows").alias("_shard_rows")), "path").drop("path")
-        return rows.toDF(*entry["names"], "_shard", "_shard_bytes", "_shard_rows")
+        return rows.toDF(*entry["names"], *added(entry["names"]))
 
     # compaction
 
@@ -145,7 +157,7 @@ class Store:
             schema = StructType.fromJson(entry["schema"])
             job = f"{self.root}/data/{version + 1:08d}-{uuid.uuid4().hex}"
             rows = self.spark.read.schema(schema).parquet(*entry["jobs"]).select("*", F.col("_metadata.file_path").alias("path"))
-            rows.join(plan, "path").repartitionById(runs, F.col("run")).drop("path", "run").write.parquet(job)
+            rows.join(plan, "path").repartitionById(runs, F.col("run")).drop("path", "run").write.option("compression", COMPRESSION).parquet(job)
             live = self.manifest(version).join(plan, "path", "left_anti").unionByName(self._listed(job, version + 1, schema))
             self._publish(version + 1, live, schema, entry["names"])
             if not keep_old:
@@ -165,8 +177,8 @@ def sharded(docs: DataFrame, target: int = TARGET_BYTES, arrival_rows: int = ARR
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sharded(common.table(spark, sf_dir, "documents"))
-    return common.pick(out, "doc_id", "_shard", "_shard_bytes", "_shard_rows").toDF("doc_id", "shard", "shard_bytes", "shard_rows")
+    docs = common.table(spark, sf_dir, "documents")
+    return common.pick(sharded(docs), "doc_id", *added(docs.columns)).toDF("doc_id", "shard", "shard_bytes", "shard_rows")
 
 
 def stage_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
