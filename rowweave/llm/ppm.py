@@ -3,8 +3,9 @@
 The model is a trie of byte contexts, learnt from all training texts: each task counts its n-grams of ORDER + 1 bytes, Spark
 sums them, and an entry (a context and the byte after it) stays when it has at least one MAX_ENTRIES-th of all training
 bytes, so that there are at most MAX_ENTRIES entries an order at any size of the corpus. A byte is coded in the longest
-context that the trie has; a byte not seen there costs an escape (the distinct bytes seen count as one more each), and in
-the shorter context the bytes of the longer one are excluded. As the bytes seen in a context are among those seen in any
+context that the trie has; a byte not seen there costs an escape, and in the shorter context the bytes of the longer one
+are excluded. An escape counts as often as the context was followed by bytes whose entries didn't stay, and once for each
+distinct byte whose entry did. As the bytes seen in a context are among those seen in any
 shorter one, what an escape excludes depends on one context only, and is worked out once for each.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import arrays, common
 
-ORDER = 5
+ORDER = 6
 MAX_ENTRIES = 1 << 20
 #: Tokens whose counts are broadcast: those with more than one HOT_TOKENS-th of all tokens, so fewer than HOT_TOKENS.
 HOT_TOKENS = 1 << 19
@@ -100,9 +101,10 @@ class _Counts:
 
 
 class Trie:
-    """entries: for each order 0 to the highest, (keys, counts): a context and a byte as one number, and how often."""
+    """entries: for each order 0 to the highest, (keys, counts): a context and a byte as one number, and how often; total: how
+    many bytes and ends there were."""
 
-    def __init__(self, entries: list[tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, entries: list[tuple[np.ndarray, np.ndarray]], total: int):
         self.order = len(entries) - 1
         self.entries, self.contexts = [], []
         parent = None
@@ -110,23 +112,29 @@ class Trie:
             by = np.argsort(keys)
             keys, counts = keys[by].astype(U64), counts[by].astype(np.float64)
             contexts, of = np.unique(keys >> U64(8), return_inverse=True)
-            total, distinct = np.bincount(of, counts, len(contexts)), np.bincount(of, minlength=len(contexts)).astype(np.float64)
+            kept, distinct = np.bincount(of, counts, len(contexts)), np.bincount(of, minlength=len(contexts)).astype(np.float64)
+            # how often a context came at all: as the entry of the order below that ends with its last byte
+            came = np.full(len(contexts), float(total))
+            if parent is not None:
+                place = parent[0].find(contexts)
+                came = np.where(place >= 0, parent[1][place] if len(parent[1]) else 0.0, kept)
+            gone = np.maximum(came - kept, 0) + distinct  # the weight of an escape
             entry, context = arrays.Lookup(keys), arrays.Lookup(contexts)
-            first = np.log10(counts / (total + distinct)[of]) if len(keys) else np.empty(0)
-            escape = np.log10(distinct / (total + distinct))
+            first = np.log10(counts / (kept + gone)[of]) if len(keys) else np.empty(0)
+            escape = np.log10(gone / (kept + gone))
             # what is left of the shorter context after the bytes of this one are excluded: of all it has, and of its escape
             if parent is None:
                 room, rest = np.zeros(len(contexts)), 256 - distinct
             else:
-                p_entry, p_counts, p_context, p_total, p_distinct, p_order = parent
+                p_entry, p_counts, p_context, p_kept, p_gone, p_order = parent
                 mask = U64((1 << 8 * (p_order + 1)) - 1)
                 excluded = np.bincount(of, p_counts[p_entry.find(keys & mask)], len(contexts)) if len(keys) else np.zeros(0)
                 shorter = p_context.find(contexts & U64((1 << 8 * p_order) - 1))
-                rest = p_distinct[shorter] - distinct
-                room = p_total[shorter] - excluded + rest
+                rest = p_gone[shorter] - distinct
+                room = p_kept[shorter] - excluded + rest
             self.entries.append((entry, counts, first))
             self.contexts.append((context, escape, room, rest))
-            parent = (entry, counts, context, total, distinct, k)
+            parent = (entry, counts, context, kept, gone, k)
 
     def scores(self, grams: np.ndarray) -> np.ndarray:
         """log10 of the probability of the last byte of each gram (keys of ORDER + 1 bytes) after the others."""
@@ -171,7 +179,7 @@ def fit(counts: DataFrame, order: int = ORDER, most: int = MAX_ENTRIES) -> Trie:
     each = each.groupBy("k", F.col("gram").bitwiseAND(masks).alias("gram")).agg(F.sum("n").alias("n")).where(F.col("n") * most >= total)
     got = each.toArrow()
     k, gram, n = (got[c].to_numpy() for c in ("k", "gram", "n"))
-    return Trie([(gram[k == i].view(U64), n[k == i]) for i in range(order + 1)])
+    return Trie([(gram[k == i].view(U64), n[k == i]) for i in range(order + 1)], total)
 
 
 class Unigrams:
