@@ -41,19 +41,20 @@ def soe_payload(column: Column | str) -> Column:
 
 
 def decode_soe(column: Column | str, writer: Schema | str, reader: Schema | str | None = None, mode: str = "failfast") -> Column:
-    """The value of a message of this schema; another message is an error, or null if permissive."""
+    """The value of a message of this schema. failfast: another message and bytes that can't be read are errors;
+    permissive_other: another message is null; permissive: both are."""
     c = F.col(column) if isinstance(column, str) else column
-    other = F.lit(None).cast("binary") if mode == "permissive" else F.raise_error(F.lit("not a message of this schema")).cast("binary")
+    other = F.lit(None).cast("binary") if mode.startswith("permissive") else F.raise_error(F.lit("not a message of this schema")).cast("binary")
     payload = F.when(is_soe(c, writer), F.substring(c, 11, 2147483647)).when(c.isNotNull(), other)
-    return decode_avro(payload, writer, reader, mode=mode)
+    return decode_avro(payload, writer, reader, mode="permissive" if mode == "permissive" else "failfast")
 
 
 def read_versions(df: DataFrame, column: str, schemas: Registry | list[Schema | str], reader: Schema | str, into: str = "value") -> DataFrame:
     """df with messages of several schemas in one column, decoded as reader. A message of none of the schemas is left out.
 
-    Every schema's messages are filtered by their header and decoded by one plan; the parts are put together by name.
+    One pass: every schema's plan gets the messages with its header, and a row takes what its own plan made of it.
     """
     known = list(schemas.by_fingerprint.values()) if isinstance(schemas, Registry) else [as_schema(s) for s in schemas]
     distinct = list({header(s): s for s in known}.values())
-    parts = [df.where(is_soe(column, s)).withColumn(into, decode_soe(column, s, reader)) for s in distinct]
-    return reduce(DataFrame.unionByName, parts)
+    value = F.coalesce(*(decode_soe(column, s, reader, "permissive_other") for s in distinct))
+    return df.where(reduce(lambda a, b: a | b, (is_soe(column, s) for s in distinct))).withColumn(into, value)

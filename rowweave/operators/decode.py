@@ -239,6 +239,8 @@ class Decoder:
             done = count == 0
             if fits and (count > b.end - at)[~done & (count > 0)].any() and not (skip and len(sized)):
                 raise ShortBufferError("", "a block of more items than there are bytes")
+            if not fits and (count > MOST_WEIGHTLESS).any():
+                raise DataError("", f"a block of more than {MOST_WEIGHTLESS} items of no bytes")
             todo = ~done
             if skip and len(sized):
                 todo[sized] = False
@@ -266,7 +268,7 @@ class Decoder:
                 return at + count * size
             return self.in_turn(own, at, count, rows, [p.item], [parts], of)
 
-        cur = self.blocks(cur, rows, not isinstance(p.item, Leaf) or p.item.kind != "null", items, skip)
+        cur = self.blocks(cur, rows, not weightless(p.item), items, skip)
         if skip:
             return None, cur
         kind = arrow_type(p.type)
@@ -311,6 +313,21 @@ class Decoder:
         return pa.MapArray.from_arrays(pa.array(offsets_of(counts), pa.int32()), k, v, type=kind), cur
 
 
+#: Items of no bytes (nulls, empty records) that a block may have; of others it can't have more than it has bytes.
+MOST_WEIGHTLESS = 1 << 20
+
+
+def weightless(plan: Any) -> bool:
+    """Whether values take no bytes."""
+    if isinstance(plan, Rec):
+        return all(weightless(step) for _, step, _ in plan.steps)
+    if isinstance(plan, SkipRec):
+        return all(map(weightless, plan.parts))
+    if isinstance(plan, Wrap):
+        return plan.plan is None or weightless(plan.plan)
+    return isinstance(plan, Leaf) and plan.kind == "null"
+
+
 def width(plan: Any) -> int:
     """The size of each value, 0 if values have sizes of their own."""
     if isinstance(plan, Leaf):

@@ -151,13 +151,21 @@ def _union(schema: Schema, node: Node, column: pa.Array) -> Ragged:
     valid, parts, done = np.asarray(column.is_valid()), [], np.zeros(n, bool)
     if len(members) == 1:
         cases = [(members[0], np.flatnonzero(valid), column)]
-    else:
+    elif pa.types.is_struct(column.type) and [f.name for f in column.type] == [f"member{k}" for k in range(len(members))]:
         cases = []
         for k, member in enumerate(members):
             values = column.field(k)
             rows = np.flatnonzero(valid & ~done & np.asarray(values.is_valid()))
             done[rows] = True
             cases.append((member, rows, values))
+    else:  # by value: the first branch that takes it
+        cases, left = [], np.flatnonzero(valid)
+        for member in members:
+            fits = _fitting(schema, member[1], column.take(pa.array(left)))
+            cases.append((member, left[fits], column))
+            left = left[~fits]
+        if len(left):
+            raise DataError("", f"{column[int(left[0])].as_py()!r} fits no branch of the union")
     done[:] = False
     for (i, b), rows, values in cases:
         done[rows] = True
@@ -173,6 +181,19 @@ def _union(schema: Schema, node: Node, column: pa.Array) -> Ragged:
     return Ragged.joined(parts, n) if parts else Ragged(np.zeros(n, np.int64), np.empty(0, np.uint8))
 
 
+def _fitting(schema: Schema, node: Node, column: pa.Array) -> np.ndarray:
+    """Which values a branch takes."""
+    n = len(column)
+    try:
+        if n:
+            encode(schema, node, column)
+        return np.ones(n, bool)
+    except (DataError, pa.ArrowException, AttributeError):
+        if n == 1:
+            return np.zeros(1, bool)
+    return np.concatenate((_fitting(schema, node, column.slice(0, n // 2)), _fitting(schema, node, column.slice(n // 2))))
+
+
 def _sized(column: pa.Array) -> Ragged:
     """Byte lengths and bytes of a binary or string column."""
     column = column.cast(pa.binary()) if not pa.types.is_binary(column.type) else column
