@@ -168,9 +168,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> Dat
     classes = docs.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"))
     trie = labels(docs, prefix, k=k).where("labels is not null")
     classes = common.store(classes.join(trie.dropDuplicates(["key"]), "key"), "classes")
-    leaves = classes.select("key", F.posexplode("labels").alias("tree", "label"))
-    nodes = leaves.groupBy("tree", "label").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = leaves.join(nodes.select("tree", "label", "first"), ["tree", "label"]).select(F.col("first").alias("a"), F.col("key").alias("b"))
+    leaves = classes.select("key", F.explode("labels").alias("label"))  # a label is one tree's
+    met = graph.with_least(leaves, "label", "key", F.xxhash64("key")).where("least <> key").select(F.col("least").alias("a"), F.col("key").alias("b"))
     clusters = graph.components(met)
     clusters = clusters.union(clusters.select("root", "root").distinct()).toDF("key", "cluster")
     clusters = common.store(clusters.join(classes.select("key", "doc_id", "n_copies"), "key"), "clusters")

@@ -22,7 +22,7 @@ GOLDEN = 0.6180339887498949
 #: Slots a source at least, on average, and the largest block.
 SLOTS_PER_SOURCE = 4096
 MAX_BLOCK = 65536
-CHUNK = 4096
+CHUNK = 512
 CELLS = 1024
 
 
