@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import arrays, common
 
-ORDER = 6
+ORDER = 5
 MAX_ENTRIES = 1 << 20
 #: Tokens whose counts are broadcast: those with more than one HOT_TOKENS-th of all tokens, so fewer than HOT_TOKENS.
 HOT_TOKENS = 1 << 19
