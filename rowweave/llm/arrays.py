@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text that a kernel takes at once; a longer text is a block of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _BASE = U64(0x9E3779B97F4A7C15)
 _INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _IN_WORD = np.zeros(256, bool)
