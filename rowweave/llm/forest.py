@@ -175,7 +175,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> Dat
     clusters = common.store(clusters.join(classes.select("key", "doc_id", "n_copies"), "key"), "clusters")
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CLUSTER_BLOCK).cast("int").alias("blocks"))
     own = clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
-    texts = docs.withColumnRenamed("doc_id", "_id").join(own, "key").where(F.col("_id").eqNullSafe(F.col("doc_id"))).dropDuplicates(["key"])
+    # by text and id: copies of one text have ids of their own, and no task gets all of them
+    of = docs.toDF("_id", "text", "_key")
+    texts = of.join(own, (F.col("_key") == F.col("key")) & F.col("_id").eqNullSafe(F.col("doc_id"))).dropDuplicates(["key"])
     sets = shingle_sets(texts, "key", "cluster", "blocks", "block", "n_copies", k=k)
     pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "key", (F.col("block") > F.col("other")).cast("int").alias("side"), "n_copies", "shingles")
@@ -210,8 +212,7 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies stays, of its smallest doc_id; texts without words all stay."""
     own = docs.withColumn("_key", F.md5(F.coalesce("text", F.lit(""))))
-    found = groups(docs).select(F.col("key").alias("_key"), "class_id", "keep_key")
-    own = own.join(found, "_key", "left")
-    loose = own.where("keep_key is null")
-    kept = own.where((F.col("_key") == F.col("keep_key")) & F.col("doc_id").eqNullSafe(F.col("class_id"))).dropDuplicates(["_key"])
-    return loose.unionByName(kept).select(*docs.columns)
+    first = groups(docs).where("key = keep_key").select("keep_key", "class_id")
+    kept = own.join(first, (F.col("_key") == F.col("keep_key")) & F.col("doc_id").eqNullSafe(F.col("class_id"))).dropDuplicates(["_key"])
+    loose = docs.where(~F.coalesce(F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"), F.lit(False)))
+    return loose.unionByName(kept.select(*docs.columns))
