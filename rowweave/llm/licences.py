@@ -199,10 +199,12 @@ def scan(docs: DataFrame) -> DataFrame:
     top = F.greatest(*logits)
     total = sum((F.exp(z - top) for z in logits[1:]), F.exp(logits[0] - top))
     family = F.coalesce(*(F.when(z == top, F.lit(c)) for z, c in zip(logits, classes, strict=True)))
-    found = sums.select("key", "line", family.alias("family"), (1 / total).alias("probability")).where((F.col("family") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY)).dropDuplicates(["key", "line"])
-    # the few lines that were found, once more, beside the templates of their family
-    texts = docs.join(found.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-    again = texts.select("key", F.posexplode(F.split("text", "\n")).alias("line", "paragraph")).join(found, ["key", "line"])
+    found = sums.select("row", "key", "line", family.alias("family"), (1 / total).alias("probability")).where((F.col("family") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY))
+    found = found.groupBy("key", "line").agg(F.min(F.struct("row", "family", "probability")).alias("f")).select("key", "line", "f.*")  # once for all copies of a text
+    found = common.store(found, "licence-lines")  # it is needed twice, and the scan isn't to be made twice
+    # the few lines that were found, once more, beside the templates of their family; by row, as a text may have many copies
+    texts = docs.select("row", "text").join(found.select("row").distinct(), "row", "left_semi")
+    again = texts.select("row", F.posexplode(F.split("text", "\n")).alias("line", "paragraph")).join(found, ["row", "line"])
     again = again.select("key", "line", "family", "probability", common.words(F.col("paragraph")).alias("w"))
     again = again.withColumn("pairs", F.when(F.size("w") > 1, pairs).otherwise(F.col("w")))
     known = F.broadcast(spark.createDataFrame([(f, [[x for x in features(t) if " " in x] for t in ts]) for f, ts in TEMPLATES.items()], "family string, templates array<array<string>>"))
