@@ -1,12 +1,14 @@
 """Scoring documents by prediction by partial matching.
 
-The model is a trie of byte contexts, learnt from all training texts: each task counts its n-grams of ORDER + 1 bytes, Spark
-sums them, and an entry (a context and the byte after it) stays when it has at least one MAX_ENTRIES-th of all training
-bytes, so that there are at most MAX_ENTRIES entries an order at any size of the corpus. A byte is coded in the longest
-context that the trie has; a byte not seen there costs an escape, and in the shorter context the bytes of the longer one
-are excluded. An escape counts as often as the context was followed by bytes whose entries didn't stay, and once for each
-distinct byte whose entry did. As the bytes seen in a context are among those seen in any
+The model is a trie of byte contexts, learnt from all training texts: each task counts its n-grams of ORDER + 1 bytes and
+Spark sums them. Every context that was seen is kept, so the model grows with the corpus. A byte is coded in the longest
+context that the trie has; a byte not seen there costs an escape, which counts once for each distinct byte that was, and in
+the shorter context the bytes of the longer one are excluded. As the bytes seen in a context are among those seen in any
 shorter one, what an escape excludes depends on one context only, and is worked out once for each.
+
+The score of an n-gram depends on it alone. Those of the most frequent n-grams are broadcast; the others of a text are
+joined with the trie, which is dealt out by the last SUFFIX bytes of the context: each task has all longer contexts
+with its endings, and the contexts shorter than that (65 792 entries at most) are broadcast.
 """
 
 from __future__ import annotations
@@ -21,7 +23,11 @@ from pyspark.sql import functions as F
 from . import arrays, common
 
 ORDER = 5
-MAX_ENTRIES = 1 << 20
+#: n-grams whose scores are broadcast: at most so many of the most frequent.
+HOT_GRAMS = 1 << 20
+#: The trie is dealt out by so many bytes before the last one, in parts of about so many n-grams.
+SUFFIX = 2
+PART_GRAMS = 1 << 17
 #: Tokens whose counts are broadcast: those with more than one HOT_TOKENS-th of all tokens, so fewer than HOT_TOKENS.
 HOT_TOKENS = 1 << 19
 END = 0xFF  # never a byte of UTF-8
@@ -170,16 +176,79 @@ class Trie:
         return out
 
 
-def fit(counts: DataFrame, order: int = ORDER, most: int = MAX_ENTRIES) -> Trie:
-    """The trie of what gather() counted. Without any text, all bytes are equally likely."""
-    counts = counts.where(F.col("kind") == GRAM).select(F.col("key").alias("gram"), "n")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    each = counts.select(F.explode(F.sequence(F.lit(0), F.lit(order))).alias("k"), "gram", "n")
-    masks = F.element_at(F.array(*(F.lit((1 << 8 * (k + 1)) - 1) for k in range(order + 1))), F.col("k") + 1)
-    each = each.groupBy("k", F.col("gram").bitwiseAND(masks).alias("gram")).agg(F.sum("n").alias("n")).where(F.col("n") * most >= total)
-    got = each.toArrow()
-    k, gram, n = (got[c].to_numpy() for c in ("k", "gram", "n"))
-    return Trie([(gram[k == i].view(U64), n[k == i]) for i in range(order + 1)], total)
+def entries(gram: np.ndarray, n: np.ndarray, orders: range) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct entries of each of these orders, and how often each is in so many of these grams."""
+    out = []
+    for k in orders:
+        keys, of = np.unique(gram & U64((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        out.append((keys, np.bincount(of, n, len(keys))))
+    return out
+
+
+def fit(counts: DataFrame, order: int = ORDER, most: int | None = None) -> Trie:
+    """The trie of what gather() counted in one piece, for small collections; with most, of entries that hold at least a
+    most-th of all bytes. Without any text, all bytes are equally likely."""
+    got = counts.where(F.col("kind") == GRAM).select("key", "n").toArrow()
+    gram, n = got["key"].to_numpy().view(U64), got["n"].to_numpy()
+    total = int(n.sum())
+    found = entries(gram, n, range(order + 1))
+    if most is not None:
+        found = [(k[c * most >= total], c[c * most >= total]) for k, c in found]
+    return Trie(found, total)
+
+
+class Grams:
+    """The model: counts of n-grams, which stay in Spark. The scores of frequent ones are in a table that every task has."""
+
+    def __init__(self, counts: DataFrame, order: int = ORDER, hot: int = HOT_GRAMS):
+        self.order = order
+        self.counts = counts.where(F.col("kind") == GRAM).select(F.col("key").alias("gram"), "n")
+        size = F.floor(4 * F.log2("n")).cast("int")
+        sizes = self.counts.groupBy(size.alias("size")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("grams")).collect()
+        self.total, self.distinct = sum(r.n for r in sizes), sum(r.grams for r in sizes)
+        least, n = 0, 0
+        for r in sorted(sizes, key=lambda r: -r.size):
+            n += r.grams
+            if n > hot:
+                least = r.size + 1
+                break
+        context = F.shiftright("gram", 8).alias("context")
+        contexts = self.counts.groupBy(context).agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("escapes"))
+        found = self.counts.where(size >= least).select("gram", context, "n").hint("shuffle_merge").join(contexts, "context")
+        got = found.select("gram", F.log10(F.col("n") / (F.col("all") + F.col("escapes"))).alias("log")).toArrow()
+        self.hot, self.hot_logs = arrays.Lookup(got["gram"].to_numpy().view(U64)), got["log"].to_numpy()
+
+    def rare_scores(self, rare: DataFrame) -> DataFrame:
+        """key, score: the sums of the scores of all n times gram of rare (key, gram, n: int); a key may have several rows."""
+        spark, order = rare.sparkSession, self.order
+        short = F.col("gram").bitwiseAND((1 << 8 * SUFFIX) - 1)
+        got = self.counts.groupBy(short.alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+        low = entries(got["gram"].to_numpy().view(U64), got["n"].to_numpy(), range(min(SUFFIX, order + 1)))
+        shared = spark.sparkContext.broadcast((low, self.total))
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), self.distinct // PART_GRAMS)
+        model = self.counts.select(F.lit(None).cast("long").alias("key"), "gram", "n")
+        both = model.unionByName(rare.select("key", "gram", F.col("n").cast("long").alias("n")))
+        suffix = F.shiftright("gram", 8).bitwiseAND((1 << 8 * SUFFIX) - 1)
+        both = both.repartition(parts, suffix).sortWithinPartitions(F.col("key").isNotNull())  # the model before what is asked
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            low, total = shared.value
+            grams, ns, trie = [np.empty(0, U64)], [np.empty(0, np.int64)], None
+            for batch in batches:
+                given = batch.column(0).null_count
+                gram, n = (batch.column(c).to_numpy().astype(t) for c, t in ((1, U64), (2, np.int64)))
+                grams.append(gram[:given])
+                ns.append(n[:given])
+                if given == batch.num_rows:
+                    continue
+                if trie is None:
+                    trie = Trie(low + entries(np.concatenate(grams), np.concatenate(ns), range(len(low), order + 1)), total)
+                    grams, ns = [], []
+                keys, of = np.unique(batch.column(0)[given:].to_numpy(), return_inverse=True)
+                sums = np.bincount(of, trie.scores(gram[given:]) * n[given:], len(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], ["key", "score"])
+
+        return both.select("key", "gram", "n").mapInArrow(run, "key long, score double").groupBy("key").agg(F.sum("score").alias("score"))
 
 
 class Unigrams:
@@ -200,40 +269,41 @@ class Unigrams:
         return np.log10(share) if not isinstance(share, Column) else F.log10(share)
 
 
-def score(docs: DataFrame, trie: Trie, unigrams: Unigrams, *keep: str) -> DataFrame:
-    """keep; score: log10 of the probability of each whole text (null: empty) and its end; n_tokens, and of its end and
-    frequent tokens n_known and base_score."""
-    shared = docs.sparkSession.sparkContext.broadcast((trie, unigrams.hot, unigrams.hot_logs, float(unigrams.log(unigrams.ends)), int(unigrams.ends > 0)))
+def score(docs: DataFrame, grams: Grams, unigrams: Unigrams, *keep: str) -> DataFrame:
+    """keep; known_score: log10 of the probability of the frequent n-grams of each whole text (null: empty) and its end;
+    n_tokens, and of its end and frequent tokens n_known and base_score."""
+    shared = docs.sparkSession.sparkContext.broadcast((grams.hot, grams.hot_logs, unigrams.hot, unigrams.hot_logs, float(unigrams.log(unigrams.ends)), int(unigrams.ends > 0)))
     docs = common.pick(docs, *dict.fromkeys((*keep, "text")))
-    text_at = docs.columns.index("text")
+    text_at, order = docs.columns.index("text"), grams.order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, hot, logs, end_log, end_known = shared.value
+        hot_grams, gram_logs, hot, logs, end_log, end_known = shared.value
         for batch in batches:
             found, tokens, known, base = [np.empty(0)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
             for _, _, data, offsets in arrays.blocks(batch.column(text_at), arrays.BLOCK >> 1):
-                keys, at = gram_keys(data, offsets, model.order)
-                found.append(arrays.summed(model.scores(keys), at))
+                keys, at = gram_keys(data, offsets, order)
+                place = hot_grams.find(keys)
+                found.append(arrays.summed(np.where(place >= 0, gram_logs[place] if len(gram_logs) else 0.0, 0.0), at))
                 words, at = arrays.word_hashes(data, offsets, arrays.IN_TOKEN)
                 place = hot.find(words)
                 tokens.append(np.diff(at) + 1)
                 known.append(arrays.summed((place >= 0).astype(np.int64), at) + end_known)
                 base.append(arrays.summed(np.where(place >= 0, logs[place] if len(logs) else 0.0, 0.0), at) + end_log)
             out = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*out, *(pa.array(np.concatenate(x)) for x in (found, tokens, known, base))], [*keep, "score", "n_tokens", "n_known", "base_score"])
+            yield pa.RecordBatch.from_arrays([*out, *(pa.array(np.concatenate(x)) for x in (found, tokens, known, base))], [*keep, "known_score", "n_tokens", "n_known", "base_score"])
 
-    return docs.mapInArrow(run, docs.select(*keep).schema.add("score", "double").add("n_tokens", "long").add("n_known", "long").add("base_score", "double"))
+    return docs.mapInArrow(run, docs.select(*keep).schema.add("known_score", "double").add("n_tokens", "long").add("n_known", "long").add("base_score", "double"))
 
 
-def rare_tokens(docs: DataFrame, unigrams: Unigrams) -> DataFrame:
-    """key, token, n: how often the tokens that aren't frequent are in the texts of docs (key, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(unigrams.hot)
+def _rare(docs: DataFrame, hot: arrays.Lookup, name: str, keys_of) -> DataFrame:
+    """key, name, n: how often the keys (of the bytes and offsets of texts) that aren't in hot are in the texts of docs (key, text)."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = shared.value
         for batch in batches:
-            for i, j, data, offsets in arrays.blocks(batch.column(0)):
-                words, at = arrays.word_hashes(data, offsets, arrays.IN_TOKEN)
+            for i, j, data, offsets in arrays.blocks(batch.column(0), arrays.BLOCK >> 1):
+                words, at = keys_of(data, offsets)
                 rare = np.flatnonzero(hot.find(words) < 0)
                 of, words = np.repeat(np.arange(i, j), np.diff(at))[rare], words[rare]
                 if len(words):
@@ -241,29 +311,43 @@ def rare_tokens(docs: DataFrame, unigrams: Unigrams) -> DataFrame:
                     of, words = of[by], words[by]
                     first = np.flatnonzero(np.concatenate(([True], (words[1:] != words[:-1]) | (of[1:] != of[:-1]))))
                     n = np.diff(np.append(first, len(words)))
-                    yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(of[first])), pa.array(words[first].view(np.int64)), pa.array(n.astype(np.int32))], ["key", "token", "n"])
+                    yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(of[first])), pa.array(words[first].view(np.int64)), pa.array(n.astype(np.int32))], ["key", name, "n"])
+
+    return docs.select("text", "key").mapInArrow(run, f"key long, {name} long, n int")
+
+
+def rare_tokens(docs: DataFrame, unigrams: Unigrams) -> DataFrame:
+    """key, token, n: how often the tokens that aren't frequent are in the texts of docs (key, text)."""
+    return _rare(docs, unigrams.hot, "token", lambda data, offsets: arrays.word_hashes(data, offsets, arrays.IN_TOKEN))
+
 
-    return docs.select("text", "key").mapInArrow(run, "key long, token long, n int")
+def rare_grams(docs: DataFrame, grams: Grams) -> DataFrame:
+    """key, gram, n: how often the n-grams that aren't frequent are in the texts of docs (key, text)."""
+    order = grams.order
+    return _rare(docs, grams.hot, "gram", lambda data, offsets: gram_keys(data, offsets, order))
 
 
-def scored(docs: DataFrame, train: DataFrame, *keep: str) -> DataFrame:
+def scored(docs: DataFrame, train: DataFrame, *keep: str, hot: int = HOT_GRAMS) -> DataFrame:
     """keep, score, n_tokens, n_known, train_tokens and base_score of docs (keep, text), by models of train (text).
 
     Tokens are told apart by 64-bit hashes. Rows of one text share their scores; null is an empty text.
     """
     counts = common.store(gather(train), "counts")
-    trie, unigrams = fit(counts), Unigrams(counts, train.count())
+    grams, unigrams = Grams(counts, hot=hot), Unigrams(counts, train.count())
     docs = common.pick(docs, *dict.fromkeys((*keep, "text")))
     docs = docs.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
     rare = rare_tokens(docs, unigrams).join(unigrams.counts, "token", "left")
     c = F.coalesce("c", F.lit(0))
-    rare = rare.groupBy("key").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * unigrams.log(c)).alias("base"))
-    rows = score(docs, trie, unigrams, *keep, "key")
-    copies = docs.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))  # the rare tokens of all rows of a text came together
-    rare = rare.join(copies, "key").select("key", (F.col("known") / F.col("copies")).cast("long").alias("known"), (F.col("base") / F.col("copies")).alias("base"))
+    rare = rare.select("key", F.when(c > 0, F.col("n")).otherwise(0).cast("long").alias("known"), (F.col("n") * unigrams.log(c)).alias("base"), F.lit(0.0).alias("more"))
+    rare = rare.unionByName(grams.rare_scores(rare_grams(docs, grams)).select("key", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), F.col("score").alias("more")))
+    rare = rare.groupBy("key").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("more").alias("more"))
+    rows = score(docs, grams, unigrams, *keep, "key")
+    copies = docs.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))  # what is rare in all rows of a text came together
+    rare = rare.join(copies, "key").select("key", (F.col("known") / F.col("copies")).cast("long").alias("known"), *((F.col(c) / F.col("copies")).alias(c) for c in ("base", "more")))
     rows = rows.join(rare, "key", "left")
     known, base = F.col("n_known") + F.coalesce("known", F.lit(0)), F.col("base_score") + F.coalesce("base", F.lit(0.0))
-    return rows.select(*keep, "score", "n_tokens", known.alias("n_known"), F.lit(unigrams.n).cast("long").alias("train_tokens"), base.alias("base_score"))
+    whole = F.col("known_score") + F.coalesce("more", F.lit(0.0))
+    return rows.select(*keep, whole.alias("score"), "n_tokens", known.alias("n_known"), F.lit(unigrams.n).cast("long").alias("train_tokens"), base.alias("base_score"))
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

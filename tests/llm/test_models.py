@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest_words import tokens
@@ -128,6 +129,27 @@ def test_scoring_odd_rows(odd, none):
     assert {(r.train_tokens, r.base_score) for r in blank} == {(0, 0.0)} and all(math.isclose(r.score, -math.log10(256)) for r in blank if r.doc_id in (1, 2))
 
 
+@pytest.mark.parametrize("hot", [0, 3, ppm.HOT_GRAMS])
+def test_scores_are_of_all_contexts(docs_of, hot, monkeypatch):
+    """However few n-grams are broadcast, and however rare a context is: no entry is dropped."""
+    monkeypatch.setattr(ppm, "PART_GRAMS", 4)
+    train = ["the cat sat on the mat", "the bat sat", "", "on that mat"]
+    asked = ["the cat", "zebra the", "", "sat on the mat on that", "é", "the cat", "a\0b", None]
+    score = plain_ppm(train, ppm.ORDER, 10**9)
+    rows = ppm.scored(docs_of(*enumerate(asked)), docs_of(*enumerate(train)), "doc_id", hot=hot).collect()
+    assert len(rows) == len(asked)
+    assert all(math.isclose(r.score, score(asked[r.doc_id] or ""), rel_tol=1e-9) for r in rows)
+
+
+def test_rare_contexts_stay_in_large_corpora(docs_of):
+    """A context of two occurrences counts the same beside 5.4 million other bytes: a cut by share would have lost it."""
+    text = "qzjxvk wqxzjv"
+    many = [(i, "abcdefgh " * 1000) for i in range(600)]  # 5.4 million bytes
+    train = docs_of((-1, text), (-2, text), *many)
+    got = ppm.scored(docs_of((1, text)), train, "doc_id").first().score
+    assert got > -12  # all but the first byte are sure after their contexts; without those each costs as much as the first
+
+
 LINES = {"apache": "Licensed under the Apache License, Version 2.0.", "gpl": "This work is licensed under the GNU General Public License, version 3.", "mit": "Released under the MIT License.", "cc-by-nc": "Licensed under CC BY-NC 4.0."}
 
 
