@@ -2,7 +2,8 @@
 
 Points of the golden-ratio sequence are mapped through the cumulative weights of the sources, which gives each slot of
 the mix a source. The slots of a source are ranked, its documents are shuffled and laid end to end, and the line is cut
-into blocks of equally many tokens; the slot of rank k takes block k modulo the number of blocks.
+into blocks of equally many tokens; the slot of rank k takes block k modulo the number of blocks. A source too small for
+such blocks has shorter ones of its own, as many of them as its target asks for, evenly spread between the slots.
 
 Only DataFrame functions. A source may hold any share of the rows: running sums and ranks are taken in two levels
 (within chunks of bounded size, then over the chunks' sums), so no task sees a whole source.
@@ -22,15 +23,18 @@ GOLDEN = 0.6180339887498949
 #: Slots a source at least, on average, and the largest block.
 SLOTS_PER_SOURCE = 4096
 MAX_BLOCK = 65536
+#: Blocks that a source's words and its target consist of at least (but for blocks of one word).
+BLOCKS_PER_SOURCE = 64
 CHUNK = 512
 CELLS = 1024
 
 
 @dataclass
 class Mix:
-    """What a mix consists of. sources: src, source, n_docs, source_size, weight, target; schedule: slot, src, rank, block;
+    """What a mix consists of. sources: src, source, n_docs, source_size, weight, target, length (tokens in each of its
+    blocks but the last); schedule: slot, src, rank, block (a small source's blocks stand beside the slot of a large one);
     pieces: doc_id, src, size, start, block, words (of the document in the block); documents: the rows that were given, with
-    src, size and start; block_tokens: tokens in each block but a source's last."""
+    src, length, size and start; block_tokens: the length of large sources' blocks."""
 
     sources: DataFrame
     documents: DataFrame
@@ -82,35 +86,41 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), ratio: float = 1.
     n, total, largest = sources.agg(F.count(F.lit(1)), F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.max("n_docs"), F.lit(0))).first()
     total = ratio * total
     block = max(1, min(MAX_BLOCK, int(total // max(1, n * SLOTS_PER_SOURCE))))
-    documents = laid_out(docs.join(sources.select("src", F.col("source").alias("_source")), F.col("source").eqNullSafe(F.col("_source"))), largest)
+    own = F.floor(F.least(F.col("source_size").cast("double"), "target") / BLOCKS_PER_SOURCE)
+    sources = sources.withColumn("length", F.least(F.lit(block), F.greatest(F.lit(1), own)).cast("long"))
+    documents = laid_out(docs.join(sources.select("src", "length", F.col("source").alias("_source")), F.col("source").eqNullSafe(F.col("_source"))), largest)
     documents = common.cut(documents)
-    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
+    length = F.col("length")
+    first, last = F.floor(F.col("start") / length), F.floor((F.col("start") + F.col("size") - 1) / length)
     pieces = documents.where("size > 0").withColumn("block", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
-    inside = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
+    inside = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * length) - F.greatest(F.col("start"), F.col("block") * length)
     pieces = pieces.select("doc_id", "src", "size", "start", "block", inside.alias("words"))
     return Mix(sources, documents, pieces, schedule(sources, total, block, most), block)
 
 
 def laid_out(docs: DataFrame, largest: int) -> DataFrame:
-    """doc_id, src, size, start: where each document starts when those of its source lie end to end in the order of key."""
+    """doc_id, src, length, size, start: where each document starts when those of its source lie end to end in the order of key."""
     digits = min(8, max(1, math.ceil(math.log(max(largest, 1) / 1000, 16)))) if largest > 1000 else 1
-    docs = docs.select("doc_id", "src", "key", F.coalesce("size", F.lit(0)).cast("long").alias("size")).withColumn("chunk", F.substring("key", 1, digits))
+    docs = docs.select("doc_id", "src", "length", "key", F.coalesce("size", F.lit(0)).cast("long").alias("size")).withColumn("chunk", F.substring("key", 1, digits))
     chunks = docs.groupBy("src", "chunk").agg(F.sum("size").alias("_sum"))
     earlier = Window.partitionBy("src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.select("src", "chunk", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
     within = Window.partitionBy("src", "chunk").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     docs = docs.withColumn("_within", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return docs.join(chunks, ["src", "chunk"]).select("doc_id", "src", "size", (F.col("_before") + F.col("_within")).cast("long").alias("start"))
+    return docs.join(chunks, ["src", "chunk"]).select("doc_id", "src", "length", "size", (F.col("_before") + F.col("_within")).cast("long").alias("start"))
 
 
 def schedule(sources: DataFrame, total: float, block: int, most: int) -> DataFrame:
     """slot, src, rank, block: slot t goes to the source in whose part of [0, 1) the fraction of (t + 0.5) golden ratios falls.
 
     The source is looked up by one of CELLS equal cells, so that the join is on equality. A source's slots end where it
-    would take more than most times its words.
+    would take more than most times its words. Sources with shorter blocks take no part in this: their slots are counted.
     """
     spark = sources.sparkSession
-    parts = sources.where("target > 0")
+    small = sources.where((F.col("target") > 0) & (F.col("length") < block))
+    rest = total - (small.agg(F.sum("target")).first()[0] or 0.0)
+    span = math.ceil(rest / block) or math.ceil(total / block)
+    parts = sources.where((F.col("target") > 0) & (F.col("length") == block))
     up_to = Window.orderBy("src").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     everything = Window.partitionBy()
     parts = parts.withColumn("high", F.sum("target").over(up_to) / F.sum("target").over(everything))
@@ -119,7 +129,7 @@ def schedule(sources: DataFrame, total: float, block: int, most: int) -> DataFra
     n_blocks = F.ceil(F.col("source_size") / block).cast("long")
     cells = F.sequence(F.floor(F.col("low") * CELLS).cast("int"), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1)).cast("int"))
     parts = parts.select("src", "low", "high", n_blocks.alias("n_blocks"), F.explode(cells).alias("cell"))
-    slots = spark.range(math.ceil(total / block)).withColumnRenamed("id", "slot")
+    slots = spark.range(math.ceil(rest / block)).withColumnRenamed("id", "slot")
     turn = (F.col("slot") + 0.5) * GOLDEN
     slots = slots.withColumn("point", turn - F.floor(turn)).withColumn("cell", F.floor(F.col("point") * CELLS).cast("int"))
     slots = slots.join(parts, "cell").where("point >= low and point < high").select("slot", "src", "n_blocks")
@@ -130,7 +140,20 @@ def schedule(sources: DataFrame, total: float, block: int, most: int) -> DataFra
     within = F.row_number().over(Window.partitionBy("src", "chunk").orderBy("slot")) - 1
     ranked = slots.withColumn("_within", within).join(counts, ["src", "chunk"])
     rank = F.col("_before") + F.col("_within")
-    return ranked.select("slot", "src", rank.alias("rank"), (rank % F.col("n_blocks")).alias("block"), "n_blocks").where(F.col("rank") < most * F.col("n_blocks")).drop("n_blocks")
+    ranked = ranked.select("slot", "src", rank.alias("rank"), (rank % F.col("n_blocks")).alias("block"), "n_blocks").where(F.col("rank") < most * F.col("n_blocks")).drop("n_blocks")
+    return ranked.unionByName(counted(small, span, most))
+
+
+def counted(small: DataFrame, span: int, most: int) -> DataFrame:
+    """slot, src, rank, block of sources whose slots are counted: whole passes, and blocks of the words that are left."""
+    n_blocks = F.ceil(F.col("source_size") / F.col("length")).cast("long")
+    passes = F.floor(F.col("target") / F.col("source_size"))
+    uses = passes * n_blocks + F.round((F.col("target") - passes * F.col("source_size")) / F.col("length"))
+    small = small.select("src", n_blocks.alias("n_blocks"), F.least(uses, most * n_blocks).cast("long").alias("uses")).where("uses > 0")
+    turn = (F.col("src") + 1) * GOLDEN  # else all of these sources would begin at the first slot
+    small = small.withColumn("phase", turn - F.floor(turn)).withColumn("rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("uses") - 1)))
+    slot = F.floor((F.col("rank") + F.col("phase")) * span / F.col("uses"))
+    return small.select(slot.alias("slot"), "src", "rank", (F.col("rank") % F.col("n_blocks")).alias("block"))
 
 
 def sized(docs: DataFrame) -> DataFrame:

@@ -228,6 +228,28 @@ def test_mixing_stage(spark, sf):
     assert all(abs(got.get(s, 0) - t) <= longest + 0.02 * t for s, t in want.items())
 
 
+def test_small_sources_reach_their_targets(spark):
+    """Beside sources of millions of words, those that are smaller than one of their blocks are taken twice as well."""
+    sizes = {"a": 40_000_000, "b": 10_000_000, "c": 10_000_000, "d": 300, "e": 1_000, "f": 150_000, "g": 7}
+    rows = spark.createDataFrame([(s, n // k, k) for s, n in sizes.items() for k in [min(n, 100)]], "source string, each long, n int")
+    docs = rows.select("source", F.explode(F.sequence(F.lit(1), "n")).alias("i"), "each").select(F.xxhash64("source", "i").alias("doc_id"), "source", F.col("each").alias("size"), F.md5(F.concat("source", "i")).alias("key"))
+    m = mixing.mix(docs)
+    assert m.block_tokens > 3 * 300
+    taken = {r.src: r.n for r in m.taken().groupBy("src").agg(F.sum("taken").alias("n")).collect()}
+    for s in m.sources.collect():
+        assert abs(taken.get(s.src, 0) - s.target) <= max(1, 0.02 * s.target), s
+    slots = [r.slot for r in m.schedule.where("src = 3").orderBy("rank").collect()]
+    assert slots == sorted(slots) and slots[-1] - slots[0] > 0.9 * m.schedule.agg(F.max("slot")).first()[0]
+
+
+def test_mixing_stage_keeps_small_sources(docs_of, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS_PER_SOURCE", 256)
+    big = [(1000 * k + i, "w " * 100, "en", s) for k, s in enumerate("abc") for i in range(200)]
+    small = [(9000 + i, "x " * 10, "en", s) for s in "d" for i in range(3)]
+    out = mixing.stage_mixing(docs_of().sparkSession, docs_of(*big, *small), "")
+    assert sorted(r.doc_id for r in out.where("source = 'd'").collect()) == [9000, 9000, 9001, 9001, 9002, 9002]
+
+
 # SQL and the pipeline
 
 
