@@ -2,23 +2,28 @@
 
 A multinomial logistic regression over words and word pairs, made sparse by an L1 penalty, tells licence families and
 "unknown" apart. It is trained on TEMPLATES and on what is made of them (a bounded set, on the driver, in a second or so);
-its few hundred weights are a broadcast table. A paragraph is a line. The class "unknown" is calibrated on paragraphs that
-were held out: a temperature is fitted, and below MIN_PROBABILITY a paragraph is unknown. A prediction counts once enough
-word pairs of one template of that family are in the paragraph. The scan is DataFrame functions only.
+its few hundred weights are a broadcast table. A paragraph ends at a blank line; its lines are scored one by one and, so
+that wrapped statements are found, in windows of WIDTH words of all its lines. The class "unknown" is calibrated on
+paragraphs that were held out: a temperature is fitted, and below MIN_PROBABILITY a line is unknown. Every family of at
+least MIN_COMPARED is compared: it counts once enough word pairs of one of its templates are there, and, if it isn't the
+line's most probable, one that only this family has. The scan is DataFrame functions only.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-MIN_PROBABILITY, MIN_SHARED = 0.5, 0.6
+MIN_PROBABILITY, MIN_SHARED, MIN_COMPARED = 0.5, 0.6, 0.01
+#: Windows begin at every half of their width, so that a template of up to half a window is whole in one of them.
+WIDTH = 64
 UNKNOWN = "unknown"
 
 #: Sentences by which a text states its licence, by family.
@@ -106,9 +111,13 @@ NO_LICENCE = [
 _BETWEEN = re.compile("[^0-9a-z\x80-\U0010ffff]+")
 
 
+def _words(text: str) -> list[str]:
+    return [x for x in _BETWEEN.split(text.translate(str.maketrans(common.UPPER, common.LOWER))) if x]
+
+
 def features(text: str) -> list[str]:
     """The distinct words and word pairs of a paragraph."""
-    w = [x for x in _BETWEEN.split(text.translate(str.maketrans(common.UPPER, common.LOWER))) if x]
+    w = _words(text)
     return sorted({*w, *map(" ".join, zip(w, w[1:]))})
 
 
@@ -181,36 +190,86 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def anchors() -> list[str]:
+    """Words of which every text with MIN_SHARED of the word pairs of a template has one: of each template so many, the
+    least common first, that fewer pairs are without them than would be enough."""
+    usual, out = Counter(w for s in NO_LICENCE for w in _words(s)), set()
+    for t in (t for ts in TEMPLATES.values() for t in ts):
+        pairs = {(a, b) for a, b in zip(_words(t), _words(t)[1:])}
+        need = MIN_SHARED * len(pairs)
+        for w in sorted({w for p in pairs for w in p}, key=lambda w: (w not in out, usual[w], -len(w), w)):
+            if sum(not out & set(p) for p in pairs) < need:
+                break
+            out.add(w)
+    return sorted(out)
+
+
+def units(docs: DataFrame) -> DataFrame:
+    """docs without text, and part, unit, w, matched: the words of each line (from 0) of each paragraph (part) of text, and
+    those of windows (-1 less the first word) of paragraphs of several lines; whether they have enough of a template's
+    pairs. Windows that haven't can't be confirmed and are left out."""
+    others = [c for c in docs.columns if c != "text"]
+    parts = docs.select(*others, F.posexplode(F.split("text", r"\n[ \t\r\f\x0B]*(?=\n)")).alias("part", "paragraph"))
+    parts = parts.select(*others, "part", F.transform(F.split(F.trim(F.col("paragraph"), F.lit("\n")), "\n"), common.words).alias("lines"))
+    parts = parts.select(*others, "part", "lines", F.when(F.size("lines") > 1, F.flatten("lines")).otherwise(F.array().cast("array<string>")).alias("all"))
+    lines = F.transform("lines", lambda x, i: F.struct(i.alias("unit"), x.alias("w")))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("all") - WIDTH // 2 - 1, F.lit(0)), F.lit(WIDTH // 2))
+    windows = F.transform(starts, lambda x: F.struct((-1 - x).alias("unit"), F.slice("all", x + 1, WIDTH).alias("w")))
+    known = F.array(*map(F.lit, anchors()))
+    windows = F.when(F.arrays_overlap("all", known), windows)
+    each = F.concat(lines, F.coalesce(windows, F.array().cast("array<struct<unit:int,w:array<string>>>")))
+    templates = F.array(*(F.array(*map(F.lit, (x for x in features(t) if " " in x))) for ts in TEMPLATES.values() for t in ts))
+
+    def matches(w: Column) -> Column:
+        alike = lambda p: F.exists(templates, lambda t: F.size(F.array_intersect(t, p)) >= MIN_SHARED * F.size(t))
+        return F.when(F.arrays_overlap(w, known), F.exists(F.array(pairs_of(w)), alike)).otherwise(F.lit(False))
+
+    each = F.transform(each, lambda u: F.struct(u["unit"].alias("unit"), u["w"].alias("w"), matches(u["w"]).alias("matched")))
+    return parts.select(*others, "part", F.inline(each)).where((F.size("w") > 0) & ((F.col("unit") >= 0) | F.col("matched")))
+
+
+def pairs_of(w: Column) -> Column:
+    pairs = F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
+    return F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>"))
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """key (md5 of the text), line (from 0), family, probability, shared, confirmed: the paragraphs of docs (text) that the
-    classifier takes for a licence; shared: the part of the best template's word pairs that they have."""
+    """key (md5 of the text), part, unit, family, probability, shared, confirmed: the lines of docs (text) that the classifier
+    takes for a licence or that are confirmed to be one, and of paragraphs that have one in joined lines only its first
+    window; shared: the part of the best template's word pairs that they have."""
     spark = docs.sparkSession
     classes, weights, biases = train()
     table = F.broadcast(spark.createDataFrame([(f, *ws) for f, ws in weights], ["feature", *(f"w{i}" for i in range(len(classes)))]))
     docs = common.pick(docs, "text").where("text is not null").select(F.monotonically_increasing_id().alias("row"), F.md5("text").alias("key"), "text")
-    lines = docs.select("row", "key", F.posexplode(F.split("text", "\n")).alias("line", "paragraph"))
-    lines = lines.select("row", "key", "line", common.words(F.col("paragraph")).alias("w")).where(F.size("w") > 0)
-    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice(F.col("w"), F.lit(1), F.size("w") - 1), F.slice(F.col("w"), F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    each = lines.select("row", "key", "line", F.explode(F.array_distinct(F.concat("w", pairs))).alias("feature"))
+    pairs = pairs_of(F.col("w"))
+    each = units(docs).select("row", "key", "part", "unit", "matched", F.explode(F.array_distinct(F.concat("w", pairs))).alias("feature"))
     # a paragraph without any feature that has a weight is what the biases say; they say unknown
     assert max(range(len(biases)), key=biases.__getitem__) == 0
-    sums = each.join(table, "feature").groupBy("row", "key", "line").agg(*(F.sum(f"w{i}").alias(f"w{i}") for i in range(len(classes))))
+    sums = each.join(table, "feature").groupBy("row", "key", "part", "unit", "matched").agg(*(F.sum(f"w{i}").alias(f"w{i}") for i in range(len(classes))))
     logits = [F.col(f"w{i}") + biases[i] for i in range(len(classes))]
     top = F.greatest(*logits)
     total = sum((F.exp(z - top) for z in logits[1:]), F.exp(logits[0] - top))
-    family = F.coalesce(*(F.when(z == top, F.lit(c)) for z, c in zip(logits, classes, strict=True)))
-    found = sums.select("row", "key", "line", family.alias("family"), (1 / total).alias("probability")).where((F.col("family") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY))
-    found = found.groupBy("key", "line").agg(F.min(F.struct("row", "family", "probability")).alias("f")).select("key", "line", "f.*")  # once for all copies of a text
+    each_family = [F.struct(F.lit(c).alias("family"), (F.exp(z - top) / total).alias("probability"), (z == top).alias("top")) for c, z in zip(classes[1:], logits[1:], strict=True)]
+    families = F.filter(F.array(*each_family), lambda f: F.col("matched") & (f["probability"] >= MIN_COMPARED) | (F.col("unit") >= 0) & f["top"] & (f["probability"] >= MIN_PROBABILITY))
+    found = sums.select("row", "key", "part", "unit", families.alias("families")).where(F.size("families") > 0)
+    found = found.groupBy("key", "part", "unit").agg(F.min(F.struct("row", "families")).alias("f")).select("key", "part", "unit", "f.*")  # once for all copies of a text
     found = common.store(found, "licence-lines")  # it is needed twice, and the scan isn't to be made twice
-    # the few lines that were found, once more, beside the templates of their family; by row, as a text may have many copies
+    # what was found, once more, beside the templates of their families; by row, as a text may have many copies
     texts = docs.select("row", "text").join(found.select("row").distinct(), "row", "left_semi")
-    again = texts.select("row", F.posexplode(F.split("text", "\n")).alias("line", "paragraph")).join(found, ["row", "line"])
-    again = again.select("key", "line", "family", "probability", common.words(F.col("paragraph")).alias("w"))
+    again = units(texts).join(found, ["row", "part", "unit"]).select("key", "part", "unit", "w", F.inline("families"))
     again = again.withColumn("pairs", F.when(F.size("w") > 1, pairs).otherwise(F.col("w")))
-    known = F.broadcast(spark.createDataFrame([(f, [[x for x in features(t) if " " in x] for t in ts]) for f, ts in TEMPLATES.items()], "family string, templates array<array<string>>"))
+    rows = [(f, [[x for x in features(t) if " " in x] for t in ts], sorted(x for x in _telling(f) if " " in x)) for f, ts in TEMPLATES.items()]
+    known = F.broadcast(spark.createDataFrame(rows, "family string, templates array<array<string>>, telling array<string>"))
     shared = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("pairs"))) / F.size(t)))
-    again = again.join(known, "family").select("key", "line", "family", "probability", shared.alias("shared"))
-    return again.withColumn("confirmed", F.col("shared") >= MIN_SHARED)
+    line, top = F.col("unit") >= 0, F.col("top") & (F.col("probability") >= MIN_PROBABILITY)
+    again = again.join(known, "family").withColumn("shared", shared)
+    again = again.withColumn("confirmed", (F.col("shared") >= MIN_SHARED) & (line & top | F.arrays_overlap("telling", "pairs")))
+    again = again.where(F.col("confirmed") | line & top)
+    # joined lines count where no line of the paragraph is confirmed by itself, and once
+    same = Window.partitionBy("key", "part", "family")
+    again = again.withColumn("alone", F.max(line & F.col("confirmed")).over(same)).withColumn("first", F.max(F.when(~line, F.col("unit"))).over(same))
+    again = again.where(line | ~F.col("alone") & (F.col("unit") == F.col("first")))
+    return again.select("key", "part", "unit", "family", "probability", "shared", "confirmed")
 
 
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +279,7 @@ def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("licences"),
         F.sum(F.col("confirmed").cast("long")).alias("n_licence"),
         F.sum((~F.col("confirmed")).cast("long")).alias("n_unconfirmed"),
-        F.collect_list(F.struct("line", "family", "probability", "shared", "confirmed")).alias("paragraphs"),
+        F.collect_list(F.struct("part", "unit", "family", "probability", "shared", "confirmed")).alias("paragraphs"),
     )
     own = docs.select("doc_id", F.md5("text").alias("key")).join(found, "key", "left")
     counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_licence", "n_unconfirmed")]

@@ -183,3 +183,28 @@ def test_licence_held_out():
 
 def test_licences_odd_rows(odd, none):
     assert licences.scan(odd).count() == 0 and licences.scan(none).count() == 0
+
+
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 the authors
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software."""
+BSD_TEXT = """Some words on the program.
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:"""
+
+
+def test_licences_of_wrapped_texts(docs_of, tmp_path):
+    prose = "\n".join("the river ran slowly past an old mill where nobody had worked" for _ in range(30))
+    both = "Licensed under the Apache License, Version 2.0 or licensed under the MIT License."
+    nc = "Some words.\nLicensed under CC BY-NC 4.0.\nMore words."
+    texts = [MIT_TEXT, MIT_TEXT.replace(" ", "\n"), BSD_TEXT, f"{prose}\n{BSD_TEXT}\n{prose}", both, prose, nc]
+    df = docs_of(*enumerate(texts))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: r for r in licences.op9_licence_scan(df.sparkSession, str(tmp_path)).collect()}
+    assert [rows[i].licences for i in range(len(texts))] == ["mit", "mit", "bsd", "bsd", "apache,mit", "", "cc-by-nc"]
+    assert [rows[i].n_licence for i in (2, 3, 4, 5, 6)] == [1, 1, 2, 0, 1]
