@@ -174,6 +174,17 @@ def test_repeated_words_within_documents():
     assert chains.passages(a[:49], a[:49]) == [] and chains.passages(a[:0], a) == []
 
 
+def test_every_copy_of_a_passage_has_a_match():
+    """Five copies in one text and two in the other: all five are reported."""
+    hashes = arrays.mixed(np.arange(2000, dtype=np.uint64))
+    passage, other = hashes[:60], hashes[100:]
+    a = np.concatenate([x for i in range(5) for x in (passage, other[i * 40 : i * 40 + 40])])
+    b = np.concatenate((passage, other[1000:1050], passage))
+    for x, y, side in ((a, b, 0), (b, a, 2)):
+        places = {p for r in chains.passages(x, y) for p in range(r[side], r[side + 1])}
+        assert all(i * 100 + j in places for i in range(5) for j in range(60))
+
+
 def test_best_chain_equals_quadratic():
     rng = random.Random(2)
     for _ in range(200):
