@@ -14,6 +14,8 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 TOKEN = r"[^\x20\x09-\x0D]+"
 #: What separates the words of a near-duplicate or contamination test.
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words in texts that aren't lower-cased, and what stands between them.
+ANY_WORD, BETWEEN_ANY_WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,20 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*(F.col(f"_{at[name]}").alias(name) for name in names))
 
 
+def packed(df: DataFrame, *names: str, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """doc, a struct of all columns (or those in keep) as _0, _1, ..., beside the named columns: whatever other columns are called."""
+    at = {name: i for i, name in reversed(list(enumerate(df.columns)))}
+    plain = df.toDF(*(f"_{i}" for i in range(len(df.columns))))
+    own = range(len(df.columns)) if keep is None else [at[name] for name in keep]
+    doc = F.struct(*(F.col(f"_{i}").alias(f"_{k}") for k, i in enumerate(own)))
+    return plain.select(doc.alias("doc"), *(F.col(f"_{at[name]}").alias(name) for name in names))
+
+
+def unpacked(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns of doc alone, under their names."""
+    return df.select("doc.*").toDF(*names)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; one of our own where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

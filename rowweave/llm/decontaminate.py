@@ -1,24 +1,31 @@
 """Benchmark decontamination: windows of benchmark words, looked up in a broadcast hash set while documents are scanned.
 
-Only DataFrame functions. The hashes of all windows travel inside the plan as one hash set (its size is counted first and
-is that of the benchmark, not of the corpus); each document is scanned in place, and only the words of a hit leave the row,
-to be compared with the windows themselves. Beyond MAX_SET windows the set is a table that is joined by its words.
+Only DataFrame functions. The windows of each length are a set of bits, two for each window (of two parts of its hash), that
+travels inside the plan; it has BITS bits for each window and MAX_BITS at most, and what it lets through by chance (under one
+in 250 words up to MAX_BITS / BITS windows, more beyond) is found out later. Documents are scanned in place and written with their
+candidates; only the words of a candidate leave the row, to be compared with the windows themselves. The same way holds for
+benchmarks and documents of any size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 WINDOW = 13
-#: Windows whose hashes may travel in the plan (8 bytes each) and whose words may be broadcast (some 100 bytes each).
-MAX_SET = 60_000
+#: Bits of the set for each window, and at most: 16 MB.
+BITS, MAX_BITS = 32, 1 << 27
+#: Windows that may be broadcast when candidates are verified (some 100 bytes each).
+BROADCAST_WINDOWS = 60_000
 
 
 def windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
-    """window (its words, joined by a space), len, items (ids of those that hold it, as strings; null ids not)."""
+    """window (its words, joined by a space), len, items (ids of those that hold it, as strings; null ids not).
+
+    An item of fewer words than width, but not none, is one window; null and empty items have none; repeated items count once.
+    """
     items = common.pick(items, "item_id", "text").select(F.col("item_id").cast("string").alias("item"), common.words(F.col("text")).alias("w"))
     items = items.where(F.size("w") > 0).withColumn("len", F.least(F.size("w"), F.lit(width)))
     starts = F.sequence(F.lit(1), F.size("w") - F.col("len") + 1)
@@ -26,69 +33,101 @@ def windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
     return each.groupBy("window", "len").agg(F.collect_set("item").alias("items"))
 
 
-def scan(docs: DataFrame, found: DataFrame, keep: tuple[str, ...] = ("doc_id",), most: int = MAX_SET) -> DataFrame:
-    """row (an id of the row), doc (a struct of the columns in keep), n_words, spans (verified hits: p from 1, l words), items (sorted ids), n_hit.
+def bit_sets(found: DataFrame, most: int = MAX_BITS) -> dict[int, list[int]]:
+    """For each length of windows a set of bits in numbers of 64: at most BITS bits a window, and most in all."""
+    sizes = {r["len"]: r["n"] for r in found.groupBy("len").agg(F.count(F.lit(1)).alias("n")).collect()}
+    bits = {size: min(most, 1 << max(6, (BITS * n - 1).bit_length())) for size, n in sizes.items()}
+    if not bits:
+        return {}
+    h = F.xxhash64(F.split("window", " "))
+    mask = F.element_at(F.create_map(*(F.lit(x) for size, n in bits.items() for x in (size, n - 1))), F.col("len")).cast("long")
+    places = found.select("len", F.explode(F.array(h.bitwiseAND(mask), F.shiftrightunsigned(h, 32).bitwiseAND(mask))).alias("place"))
+    one = F.expr("shiftleft(1L, cast(place & 63L as int))")
+    numbers = places.groupBy("len", F.shiftright("place", 6).cast("int").alias("at")).agg(F.bit_or(one).alias("bits")).collect()
+    out = {size: [0] * (n >> 6) for size, n in bits.items()}
+    for r in numbers:
+        out[r["len"]][r["at"]] = r["bits"]
+    return out
+
+
+def _candidates(size: int, bits: list[int]) -> Column:
+    """The places of a document's words w where the bits of a window of that size are in the set, with the window's words."""
+    table, mask = f"cast(split('{','.join(map(str, bits))}', ',') as array<bigint>)", (len(bits) << 6) - 1
+    test = lambda place: f"(shiftrightunsigned(get({table}, cast(shiftright({place}, 6) as int)), cast({place} & 63L as int)) & 1L) = 1L"
+    h = f"xxhash64(slice(w, i, {size}))"
+    passes = f"{test(f'({h} & {mask}L)')} and {test(f'(shiftrightunsigned({h}, 32) & {mask}L)')}"
+    return F.expr(
+        f"case when size(w) >= {size} then transform(filter(sequence(1, size(w) - {size - 1}), i -> {passes}),"
+        f" i -> named_struct('p', i, 'l', {size}, 't', array_join(slice(w, i, {size}), ' '))) else array() end"
+    )
+
+
+def scan(docs: DataFrame, found: DataFrame, keep: tuple[str, ...] | None = None, most: int = MAX_BITS) -> DataFrame:
+    """doc (the columns of docs in keep, or all, packed by common.packed), n_words, spans (verified hits: p from 1, l words), items (sorted ids), n_hit.
 
     found: what windows() gave. Null texts and texts without words have n_words 0 and no hit. Repeated rows stay rows of
     their own. Windows of fewer words than others (items that are short) are scanned for each length there is.
     """
     found = common.cut(found)
-    docs = common.pick(docs, *dict.fromkeys((*keep, "text")))
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*keep).alias("doc"), common.words(F.col("text")).alias("w"))
     n = found.count()
-    if n <= most:
-        hashes = found.select("len", F.xxhash64(F.split("window", " ")).alias("h")).groupBy("len").agg(F.collect_set("h").alias("h")).collect()
-        hits = [_hits(size, f"in ({','.join(f'{h}L' if h != -(2**63) else '-9223372036854775807L - 1L' for h in hs)})") for size, hs in sorted(map(tuple, hashes))]
-        found = F.broadcast(found)
-    else:
-        hits = [_hits(row[0], "is not null") for row in found.select("len").distinct().collect()]  # every window leaves its row
     none = F.expr("cast(array() as array<struct<p:int,l:int,t:string>>)")
-    docs = docs.select("row", "doc", F.size("w").alias("n_words"), F.explode_outer(F.flatten(F.array(none, *hits))).alias("hit"))
-    docs = docs.select("row", "doc", "n_words", F.col("hit.p").alias("p"), F.col("hit.l").alias("l"), F.col("hit.t").alias("window"))
-    docs = docs.join(found.select("window", "items"), "window", "left")
-    hit = F.when(F.col("items").isNotNull(), F.struct("p", "l"))
-    docs = docs.groupBy("row", "doc", "n_words").agg(F.array_sort(F.collect_set(hit)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    inside = F.flatten(F.transform("spans", lambda s: F.sequence(s["p"], s["p"] + s["l"] - 1)))
-    return docs.withColumn("n_hit", F.size(F.array_distinct(inside)))
-
-
-def _hits(size: int, test: str):
-    """The places of a document's words w where a window of that size passes the test, with its words."""
-    return F.expr(
-        f"case when size(w) >= {size} then transform(filter(sequence(1, size(w) - {size - 1}), i -> xxhash64(slice(w, i, {size})) {test}),"
-        f" i -> named_struct('p', i, 'l', {size}, 't', array_join(slice(w, i, {size}), ' '))) else array() end"
-    )
-
-
-def contaminated(scanned: DataFrame):
+    hits = [_candidates(size, bits) for size, bits in sorted(bit_sets(found, most).items())]
+    docs = common.packed(docs, "text", keep=keep).select("doc", common.words(F.col("text")).alias("w"))
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc", F.size("w").alias("n_words"), F.flatten(F.array(none, *hits)).alias("candidates"))
+    docs = common.store(docs, "scanned")  # from here on rows keep their number
+    clean = docs.where(F.size("candidates") == 0).select("doc", "n_words", F.expr("cast(array() as array<struct<p:int,l:int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
+    each = docs.select("row", F.explode("candidates").alias("hit")).select("row", "hit.p", "hit.l", F.col("hit.t").alias("window"))
+    texts = found.select("window", "items")
+    each = each.join(F.broadcast(texts) if n <= BROADCAST_WINDOWS else texts, "window")
+    each = each.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("p", "l"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    dirty = docs.where(F.size("candidates") > 0).select("row", "doc", "n_words").join(each, "row", "left")
+    dirty = dirty.select("doc", "n_words", *(F.coalesce(dirty[c], F.array().cast(clean.schema[c].dataType)).alias(c) for c in ("spans", "items")))
+    return clean.unionByName(dirty).withColumn("n_hit", F.size(_inside()))
+
+
+def _inside() -> Column:
+    """The places of words that are inside a hit."""
+    return F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["p"], s["p"] + s["l"] - 1))))
+
+
+def contaminated() -> Column:
+    """Whether a twentieth or more of the words are inside a hit."""
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit").cast("long") >= F.col("n_words"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scan(common.table(spark, sf_dir, "documents"), windows(common.table(spark, sf_dir, "benchmark")))
+    """A row for each document: its words, those inside verified windows, and the items whose windows it has. Null, empty and
+    very long texts and repeated rows and items are rows like any other; null item ids have windows, but aren't listed."""
+    out = scan(common.table(spark, sf_dir, "documents"), windows(common.table(spark, sf_dir, "benchmark")), ("doc_id",))
     return out.select(
-        "doc.doc_id",
+        F.col("doc._0").alias("doc_id"),
         F.col("n_words").cast("long").alias("n_words"),
         F.col("n_hit").cast("long").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        contaminated(out).alias("contaminated"),
+        contaminated().alias("contaminated"),
     )
 
 
 def remove_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The words of each document without those inside a hit: row, doc_id, kept (the words, joined by a space)."""
-    hits = scan(docs, found, ("doc_id", "text"))
-    gone = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["p"], s["p"] + s["l"] - 1))))
-    rest = F.filter(common.words(F.col("doc.text")), lambda w, i: ~F.array_contains(gone, i + 1))
-    return hits.select("row", "doc.doc_id", F.array_join(rest, " ").alias("kept"))
+    """docs with the words of verified hits, and what stands before each of them, taken out of text; all else (case, signs,
+    line breaks, other columns) stays as it is. Null texts stay null."""
+    hits = scan(docs, found)
+    pieces = F.regexp_extract_all("text", F.lit(f"(?:{common.BETWEEN_ANY_WORDS})?{common.ANY_WORD}"), F.lit(0))
+    kept = F.array_except(F.sequence(F.lit(1), F.col("n_words")), _inside())
+    rest = F.concat(F.array_join(F.transform(kept, lambda i: F.get(pieces, i - 1)), ""), F.regexp_extract("text", f"(?:{common.BETWEEN_ANY_WORDS})?$", 0))
+    at = f"_{docs.columns.index('text')}"
+    hits = hits.withColumn("text", F.col(f"doc.{at}"))
+    cleaned = F.when(F.col("n_hit") > 0, rest).otherwise(F.col("text"))
+    return common.unpacked(hits.select(F.col("doc").withField(at, cleaned).alias("doc")), docs.columns)
 
 
 def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more of the words are inside benchmark windows go; the others stay as they are."""
-    found = windows(common.table(spark, sf_dir, "benchmark"))
-    out = scan(docs, found, tuple(docs.columns))
-    return out.where(~contaminated(out)).select("doc.*")
+    """Documents go that hold a whole window of WINDOW words, however long they are, or of which a twentieth or more of the words
+    are inside shorter items; the others stay as they are. remove_spans() cuts the passages out instead."""
+    out = scan(docs, windows(common.table(spark, sf_dir, "benchmark")))
+    whole = F.exists("spans", lambda s: s["l"] >= WINDOW)
+    return common.unpacked(out.where(~(whole | contaminated())), docs.columns)
 
 
 ORACLE_OP4 = r"""

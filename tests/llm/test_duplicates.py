@@ -266,30 +266,51 @@ def brute_hits(docs, items, width=13):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("most", [60_000, 0])
-def test_windows(spark, docs_of, most):
-    """most 0: by the table of windows instead of the set in the plan."""
+@pytest.mark.parametrize("most, broadcast", [(1 << 27, 60_000), (64, 0)])
+def test_windows(spark, docs_of, monkeypatch, most, broadcast):
+    """64 bits: nearly all is let through, and found out by its words, which are joined without a broadcast."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", broadcast)
     rng = random.Random(4)
     text = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(n))
     items = [(i, text(rng.randrange(0, 30))) for i in range(12)] + [(3, "x y z"), (None, "q q"), (20, None), (21, "!"), (10, "x y z")]
     docs = [(i, text(rng.randrange(0, 20)) + " " + (items[i % 12][1] or "") + " " + text(5)) for i in range(20)] + [(99, "X, y - Z"), (99, "X, y - Z"), (98, None), (97, ""), (96, "q q q")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("window", F.lit(1))
-    out = decontaminate.scan(docs_of(*docs, extra=("items", "p")), decontaminate.windows(bench), most=most)
-    got = sorted(((r.doc.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in out.collect()), key=str)
+    out = decontaminate.scan(docs_of(*docs, extra=("items", "p", "row", "doc")), decontaminate.windows(bench), ("doc_id",), most)
+    got = sorted(((r.doc["_0"], r.n_words, r.n_hit, list(r["items"])) for r in out.collect()), key=str)
     assert got == brute_hits(docs, items)
 
 
+def test_bits(spark):
+    """Every window is in its set, and hardly anything else is."""
+    texts = [(i, " ".join(f"b{i * 100 + j}" for j in range(30))) for i in range(50)]
+    found = decontaminate.windows(spark.createDataFrame(texts, "item_id long, text string"))
+    ((size, bits),) = decontaminate.bit_sets(found).items()
+    assert size == 13 and len(bits) * 64 == 1 << 15 and 1700 < sum((x & (2**64 - 1)).bit_count() for x in bits) <= 1800
+
+
 def test_decontamination_odd_rows(spark, odd, none):
     empty = decontaminate.windows(spark.createDataFrame([], "item_id long, text string"))
     some = decontaminate.windows(spark.createDataFrame([(1, "same text here")], "item_id long, text string"))
     assert decontaminate.scan(odd, empty).where("n_hit > 0").count() == 0 and decontaminate.scan(odd, empty).count() == 9
     assert decontaminate.scan(odd, some).where("n_hit = 3").count() == 3 and decontaminate.scan(none, some).count() == 0
-    assert sorted(r.kept for r in decontaminate.remove_spans(odd, some).collect() if r.doc_id in (5, 6)) == ["", "", ""]
+    cleaned = decontaminate.remove_spans(odd, some)
+    assert cleaned.columns == odd.columns
+    assert [r.text for r in cleaned.collect() if r.doc_id in (5, 6)] == ["", "", ""] and sorted(str(r) for r in cleaned.collect() if r.doc_id not in (5, 6)) == sorted(str(r) for r in odd.collect() if r.doc_id not in (5, 6))
+
+
+def test_spans_are_cut_from_the_text_as_it_is(spark, docs_of):
+    passage = [f"p{i}" for i in range(20)]
+    found = decontaminate.windows(spark.createDataFrame([(1, " ".join(passage))], "item_id long, text string"))
+    docs = docs_of((1, "Keep, THIS!\n" + ", ".join(passage).upper() + "; and\tThat. "), (2, " ".join(passage[:13])), (3, "Untouched: " + " ".join(passage[:12])), (4, None))
+    out = decontaminate.remove_spans(docs, found)
+    assert {r.doc_id: r.text for r in out.collect()} == {1: "Keep, THIS; and\tThat. ", 2: "", 3: "Untouched: " + " ".join(passage[:12]), 4: None}
+    assert decontaminate.scan(out, found).where("n_hit > 0").count() == 0
 
 
 def test_decontamination_stage(spark, sf):
     docs = common.table(spark, sf, "documents")
     items = [(r.item_id, r.text) for r in common.table(spark, sf, "benchmark").collect()]
-    bad = {d for d, n, h, _ in brute_hits([(r.doc_id, r.text) for r in docs.collect()], items) if h and 20 * h >= n}
+    bad = {d for d, n, h, _ in brute_hits([(r.doc_id, r.text) for r in docs.collect()], items) if h}  # no item is short
+    docs = docs.withColumn("row", F.lit(1)).withColumn("doc", F.lit(2)).withColumn("TEXT", F.lit(3)) if "TEXT" not in docs.columns else docs
     kept = decontaminate.stage_decontamination(spark, docs, sf)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()} - bad and bad
