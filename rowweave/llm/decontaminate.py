@@ -1,8 +1,8 @@
 """Benchmark decontamination: windows of benchmark words, looked up in a broadcast hash set while documents are scanned.
 
-Only DataFrame functions. The windows of each length are a set of bits, two for each window (of two parts of its hash), that
-travels inside the plan; it has BITS bits for each window and MAX_BITS at most, and what it lets through by chance (under one
-in 250 words up to MAX_BITS / BITS windows, more beyond) is found out later. Documents are scanned in place and written with their
+Only DataFrame functions. The windows of each length are two sets of bits that travel inside the plan: of hashes of three of a
+window's words, which are looked up first, and of hashes of all its words. Each has BITS bits for each window and MAX_BITS at
+most, and what they let through by chance (one in a thousand up to MAX_BITS / BITS windows, more beyond) is found out later. Documents are scanned in place and written with their
 candidates; only the words of a candidate leave the row, to be compared with the windows themselves. The same way holds for
 benchmarks and documents of any size.
 """
@@ -33,32 +33,39 @@ def windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
     return each.groupBy("window", "len").agg(F.collect_set("item").alias("items"))
 
 
-def bit_sets(found: DataFrame, most: int = MAX_BITS) -> dict[int, list[int]]:
-    """For each length of windows a set of bits in numbers of 64: at most BITS bits a window, and most in all."""
+def _hashes(words: str, at: str, size: str) -> tuple[str, str]:
+    """SQL: the hashes of three words (the first, the middle, the last) and of all words of the window that begins at (from 0)."""
+    return f"xxhash64(get({words}, {at}), get({words}, {at} + {size} div 2), get({words}, {at} + {size} - 1))", f"xxhash64(slice({words}, {at} + 1, {size}))"
+
+
+def bit_sets(found: DataFrame, most: int = MAX_BITS) -> dict[int, list[list[int]]]:
+    """For each length of windows two sets of bits in numbers of 64: at most BITS bits a window, and most in all."""
     sizes = {r["len"]: r["n"] for r in found.groupBy("len").agg(F.count(F.lit(1)).alias("n")).collect()}
     bits = {size: min(most, 1 << max(6, (BITS * n - 1).bit_length())) for size, n in sizes.items()}
     if not bits:
         return {}
-    h = F.xxhash64(F.split("window", " "))
     mask = F.element_at(F.create_map(*(F.lit(x) for size, n in bits.items() for x in (size, n - 1))), F.col("len")).cast("long")
-    places = found.select("len", F.explode(F.array(h.bitwiseAND(mask), F.shiftrightunsigned(h, 32).bitwiseAND(mask))).alias("place"))
+    hashed = found.select("len", F.split("window", " ").alias("w")).select("len", F.posexplode(F.array(*(F.expr(h) for h in _hashes("w", "0", "cast(len as int)")))).alias("set", "h"))
+    places = hashed.select("len", "set", F.col("h").bitwiseAND(mask).alias("place"))
     one = F.expr("shiftleft(1L, cast(place & 63L as int))")
-    numbers = places.groupBy("len", F.shiftright("place", 6).cast("int").alias("at")).agg(F.bit_or(one).alias("bits")).collect()
-    out = {size: [0] * (n >> 6) for size, n in bits.items()}
+    numbers = places.groupBy("len", "set", F.shiftright("place", 6).cast("int").alias("at")).agg(F.bit_or(one).alias("bits")).collect()
+    out = {size: [[0] * (n >> 6) for _ in range(2)] for size, n in bits.items()}
     for r in numbers:
-        out[r["len"]][r["at"]] = r["bits"]
+        out[r["len"]][r["set"]][r["at"]] = r["bits"]
     return out
 
 
-def _candidates(size: int, bits: list[int]) -> Column:
-    """The places of a document's words w where the bits of a window of that size are in the set, with the window's words."""
-    table, mask = f"cast(split('{','.join(map(str, bits))}', ',') as array<bigint>)", (len(bits) << 6) - 1
-    test = lambda place: f"(shiftrightunsigned(get({table}, cast(shiftright({place}, 6) as int)), cast({place} & 63L as int)) & 1L) = 1L"
-    h = f"xxhash64(slice(w, i, {size}))"
-    passes = f"{test(f'({h} & {mask}L)')} and {test(f'(shiftrightunsigned({h}, 32) & {mask}L)')}"
+def _candidates(size: int, sets: list[list[int]]) -> Column:
+    """The places of a document's words w where the bits of a window of that size are in the sets, with the window's words."""
+
+    def passes(h: str, bits: list[int]) -> str:
+        table, mask = f"cast(split('{','.join(map(str, bits))}', ',') as array<bigint>)", (len(bits) << 6) - 1
+        return f"(shiftright(get({table}, cast(shiftright({h} & {mask}L, 6) as int)), cast({h} & 63L as int)) & 1L) = 1L"
+
+    tests = " and ".join(passes(h, bits) for h, bits in zip(_hashes("w", "i", str(size)), sets, strict=True))
     return F.expr(
-        f"case when size(w) >= {size} then transform(filter(sequence(1, size(w) - {size - 1}), i -> {passes}),"
-        f" i -> named_struct('p', i, 'l', {size}, 't', array_join(slice(w, i, {size}), ' '))) else array() end"
+        f"case when size(w) >= {size} then transform(filter(sequence(0, size(w) - {size}), i -> {tests}),"
+        f" i -> named_struct('p', i + 1, 'l', {size}, 't', array_join(slice(w, i + 1, {size}), ' '))) else array() end"
     )
 
 
@@ -71,7 +78,7 @@ def scan(docs: DataFrame, found: DataFrame, keep: tuple[str, ...] | None = None,
     found = common.cut(found)
     n = found.count()
     none = F.expr("cast(array() as array<struct<p:int,l:int,t:string>>)")
-    hits = [_candidates(size, bits) for size, bits in sorted(bit_sets(found, most).items())]
+    hits = [_candidates(size, sets) for size, sets in sorted(bit_sets(found, most).items())]
     docs = common.packed(docs, "text", keep=keep).select("doc", common.words(F.col("text")).alias("w"))
     docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc", F.size("w").alias("n_words"), F.flatten(F.array(none, *hits)).alias("candidates"))
     docs = common.store(docs, "scanned")  # from here on rows keep their number
