@@ -1,22 +1,23 @@
 """Jaccard join of word shingles through a MinHash LSH forest.
 
-Each text gets TREES labels of DEPTH minimum hashes. In a tree of the forest, texts whose labels begin alike lie below the
-same node of a prefix trie, and sorting by label brings them together. The prefix that must match is shortened from DEPTH
-until a pair at the threshold meets in some tree with the target probability. What meets below a node is joined to the
-node's first text only; texts so connected form a candidate cluster, and within each cluster all pairs are verified with
-their exact shingle sets, in blocks of bounded size, so that a cluster of any size is spread over tasks and no pair is
-ever a row.
+Each text gets TREES labels of DEPTH minimum hashes. A tree of the forest is the prefix trie of its labels, kept as their
+sorted order: texts below one node stand together. The prefix that must match is shortened from DEPTH for each text until
+the pairs that a text of so many shingles can be part of meet in some tree with the target probability; short texts can only
+be similar to few others and keep long prefixes. What meets below a node is joined to one text of it, first within each task
+and then over all tasks, so a node of any size reaches the shuffle with one text a task; texts so connected form a candidate
+cluster, and within each cluster all pairs are verified with their exact shingle sets, in blocks of bounded size, so that a
+cluster of any size is spread over tasks and no pair is ever a row.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from . import arrays, common, graph
 
@@ -24,48 +25,167 @@ SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, TARGET = 24, 8, 0.9999
 #: Texts of a cluster that are compared with one another, or with as many others, in one place.
 CLUSTER_BLOCK = 128
+#: Texts that a task links among themselves at once.
+MEET_TEXTS = 1 << 15
 U64 = np.uint64
 
 
-def matched_depth(trees: int = TREES, depth: int = DEPTH, threshold: float = THRESHOLD, target: float = TARGET) -> int:
+#: Shingles of a text up to which its own prefix is looked for; from there on similarities come close to any threshold.
+SHORT = 200
+
+
+def matched_depth(similarity: float, trees: int = TREES, depth: int = DEPTH, target: float = TARGET) -> int:
     """The longest prefix at which a pair of that similarity meets in one of the trees with the target probability."""
     for k in range(depth, 0, -1):
-        if 1 - (1 - threshold**k) ** trees >= target:
+        if 1 - (1 - similarity**k) ** trees >= target:
             return k
     return 1
 
 
-def labels(docs: DataFrame, prefix: int, trees: int = TREES, k: int = SHINGLE) -> DataFrame:
-    """key, labels: for each row of docs (key, text), the hash of its label's prefix in each tree; null without words."""
-    n = trees * prefix
+def least_similarity(n: int, threshold: float) -> float:
+    """The smallest similarity from threshold on that a set of n can have with another set."""
+    found = 1.0
+    for m in range(math.ceil(threshold * n - 1e-9), math.floor(n / threshold + 1e-9) + 1):
+        i = math.ceil(threshold * (n + m) / (1 + threshold) - 1e-9)  # the least common part
+        if i <= min(n, m):
+            found = min(found, i / (n + m - i))
+    return found
+
+
+def depths(threshold: float = THRESHOLD) -> np.ndarray:
+    """By number of shingles, SHORT at most, the prefix that must match."""
+    return np.array([DEPTH] + [matched_depth(least_similarity(n, threshold)) for n in range(1, SHORT)] + [matched_depth(threshold)], np.int32)
+
+
+def labels(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> DataFrame:
+    """uid, depth, labels of each row of docs (uid, text) with words: the prefix that must match, and for each tree DEPTH minimum
+    hashes of 16 bits, the first ones in the first of two numbers."""
     draw = np.random.default_rng(20240229)
+    n = TREES * DEPTH
     factors, offsets_ = draw.integers(1, 1 << 32, n, np.uint32) | np.uint32(1), draw.integers(0, 1 << 32, n, np.uint32)
+    prefix = depths(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in arrays.blocks(batch.column(1)):
                 sh, at = arrays.shingles(*arrays.word_hashes(data, offsets), k)
                 full = np.flatnonzero(np.diff(at) > 0)
-                out = np.zeros((len(full), trees), U64)
+                if not len(full):
+                    continue
+                out = np.zeros((len(full), TREES, 2), U64)
                 low = (sh >> U64(32)).astype(np.uint32)
                 # the same order every time: each function is a bijection of 32 bits
-                for t in range(trees):
-                    label = np.full(len(full), t, U64)
-                    for p in range(t * prefix, (t + 1) * prefix):
-                        h = low * factors[p] + offsets_[p]
-                        h ^= h >> np.uint32(15)
-                        h *= np.uint32(0x2C1B3C6D)
-                        h ^= h >> np.uint32(12)
-                        least = np.minimum.reduceat(h, at[full]) if len(full) else h[:0]
-                        label = arrays.mixed(label * U64(0x9E3779B97F4A7C15) + least.astype(U64) + U64(1))
-                    out[:, t] = label
-                ends = np.zeros(j - i + 1, np.int64)
-                ends[1:] = np.cumsum(np.diff(at) > 0) * trees
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], lists], ["key", "labels"])
-
-    out = common.pick(docs, "key", "text").mapInArrow(run, StructType.fromDDL("key string, labels array<long>"))
-    return out.select("key", F.when(F.size("labels") > 0, F.col("labels")).alias("labels"))
+                for p in range(n):
+                    h = low * factors[p] + offsets_[p]
+                    h ^= h >> np.uint32(15)
+                    h *= np.uint32(0x2C1B3C6D)
+                    h ^= h >> np.uint32(12)
+                    least = np.minimum.reduceat(h, at[full]) * np.uint32(0x9E3779B1)  # least hashes are small: spread them
+                    tree, level = divmod(p, DEPTH)
+                    out[:, tree, level // 4] |= (least >> np.uint32(16)).astype(U64) << U64(48 - 16 * (level % 4))
+                own = _distinct(sh, at, full)
+                ends = pa.array(np.arange(len(full) + 1) * 2 * TREES, pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pa.array(out.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j].take(pa.array(full)), pa.array(prefix[own]), lists], ["uid", "depth", "labels"])
+
+    return common.pick(docs, "uid", "text").mapInArrow(run, "uid long, depth int, labels array<long>")
+
+
+def _distinct(sh: np.ndarray, at: np.ndarray, full: np.ndarray) -> np.ndarray:
+    """The number of distinct shingles of each of these texts, or SHORT for texts of more shingles than that."""
+    sizes = np.diff(at)[full]
+    out, short = np.full(len(full), SHORT), np.flatnonzero(sizes < SHORT)
+    of, values = np.repeat(np.arange(len(short)), sizes[short]), sh[arrays._ranges(at[:-1][full][short], sizes[short])]
+    by = np.lexsort((values, of))
+    of, values = of[by], values[by]
+    new = np.concatenate(([True], (of[1:] != of[:-1]) | (values[1:] != values[:-1]))) if len(of) else np.empty(0, bool)
+    out[short] = np.bincount(of[new], minlength=len(short))
+    return out
+
+
+def _meet(uid: np.ndarray, depth: np.ndarray, tree: np.ndarray, high: np.ndarray, low: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, which): rows in order of tree and label are linked with the first row of their trie node, at each depth at which both
+    may match; which of them are the first row of some node."""
+    n = len(uid)
+    heads, a, b = np.zeros(n, bool), [], []
+    for k in range(least, DEPTH + 1):
+        shift = U64(16 * (DEPTH - k))
+        upper, lower = (high, low >> shift) if k > 4 else (high >> U64(16 * (4 - k)), low[:0])
+        new = np.ones(n, bool)
+        new[1:] = (tree[1:] != tree[:-1]) | (upper[1:] != upper[:-1])
+        if len(lower):
+            new[1:] |= lower[1:] != lower[:-1]
+        own = np.flatnonzero(depth <= k)
+        node = np.cumsum(new)[own]
+        first = np.concatenate(([True], node[1:] != node[:-1])) if len(own) else np.empty(0, bool)
+        head = own[np.maximum.accumulate(np.where(first, np.arange(len(own)), 0))] if len(own) else own
+        heads[own[first]] = True
+        apart = uid[head] != uid[own]
+        a.append(uid[head][apart])
+        b.append(uid[own][apart])
+    a, b = np.concatenate(a), np.concatenate(b)
+    both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
+    return both[0], both[1], heads
+
+
+def _node(tree: np.ndarray, high: np.ndarray, low: np.ndarray, least: int) -> np.ndarray:
+    """A hash of a label's prefix of the least depth, and of its tree."""
+    high, low = (high, low >> U64(16 * (DEPTH - least))) if least > 4 else (high >> U64(16 * (4 - least)), low * U64(0))
+    return arrays.mixed(arrays.mixed(high + tree.astype(U64) * U64(0x9E3779B97F4A7C15)) + low)
+
+
+def met(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> DataFrame:
+    """a, b: uids of docs (uid, text) that meet below a node of the forest, each with one text of the node."""
+    least = int(depths(threshold).min())
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> pa.RecordBatch:
+            uid, depth, label = (np.concatenate(x) for x in zip(*rows, strict=True))
+            tree = np.tile(np.arange(TREES), len(uid))
+            uid, depth, high, low = np.repeat(uid, TREES), np.repeat(depth, TREES), label[:, 0], label[:, 1]
+            by = np.lexsort((uid, low, high, tree))
+            uid, depth, tree, high, low = (x[by] for x in (uid, depth, tree, high, low))
+            a, b, heads = _meet(uid, depth, tree, high, low, least)
+            uid, depth, tree, high, low = (x[heads] for x in (uid, depth, tree, high, low))
+            zeros = np.zeros(len(a), np.int64)
+            node = pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(_node(tree, high, low, least).view(np.int64))])
+            columns = [(zeros, tree), (zeros, high.view(np.int64)), (zeros, low.view(np.int64)), (zeros, depth), (a, uid), (b, np.zeros(len(uid), np.int64))]
+            return pa.RecordBatch.from_arrays([node, *(pa.array(np.concatenate(c).astype(np.int64)) for c in columns)], ["node", "tree", "high", "low", "depth", "a", "b"])
+
+        for batch in batches:
+            rows.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).flatten().to_numpy().view(U64).reshape(-1, 2)))
+            if sum(len(r[0]) for r in rows) >= MEET_TEXTS:
+                yield flush()
+                rows.clear()
+        if rows:
+            yield flush()
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None  # rows of the last node, which may go on
+
+        def pairs(node, tree, high, low, depth, uid) -> pa.RecordBatch:
+            a, b, _ = _meet(uid, depth, tree, high.view(U64), low.view(U64), least)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            given = batch.column(0).null_count  # links that were made within a task come first
+            if given:
+                yield pa.RecordBatch.from_arrays([batch.column(5)[:given], batch.column(6)[:given]], ["a", "b"])
+            now = [batch.column(c)[given:].to_numpy(zero_copy_only=False).astype(np.int64) for c in range(6)]
+            now = [np.concatenate(x) for x in zip(left, now, strict=True)] if left is not None else now
+            if not len(now[0]):
+                continue
+            end = int(np.searchsorted(now[0], now[0][-1]))  # nodes are in order
+            yield pairs(*(x[:end] for x in now))
+            left = [x[end:] for x in now]
+        if left is not None:
+            yield pairs(*left)
+
+    near = labels(docs, threshold, k).mapInArrow(within, "node long, tree long, high long, low long, depth long, a long, b long")
+    near = near.repartition(F.coalesce("node", F.xxhash64("a", "b"))).sortWithinPartitions(F.col("node").asc_nulls_first(), "tree", "high", "low")
+    return near.mapInArrow(across, "a long, b long").distinct()
 
 
 def shingle_sets(docs: DataFrame, *keep: str, k: int = SHINGLE) -> DataFrame:
@@ -164,15 +284,11 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> Dat
     sets have the similarity; root: the smallest key of the texts that it is connected with through links.
     """
     docs = common.pick(docs, "doc_id", "text").withColumn("key", F.md5(F.coalesce("text", F.lit(""))))
-    prefix = matched_depth(threshold=threshold)
-    classes = docs.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"))
-    trie = labels(docs, prefix, k=k).where("labels is not null")
-    classes = common.store(classes.join(trie.dropDuplicates(["key"]), "key"), "classes")
-    leaves = classes.select("key", F.explode("labels").alias("label"))  # a label is one tree's
-    met = graph.with_least(leaves, "label", "key", F.xxhash64("key")).where("least <> key").select(F.col("least").alias("a"), F.col("key").alias("b"))
-    clusters = graph.components(met)
-    clusters = clusters.union(clusters.select("root", "root").distinct()).toDF("key", "cluster")
-    clusters = common.store(clusters.join(classes.select("key", "doc_id", "n_copies"), "key"), "clusters")
+    classes = docs.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"), F.first(F.coalesce("text", F.lit("")).rlike(common.ANY_WORD)).alias("worded"))
+    classes = common.store(classes.where("worded").select("key", "doc_id", "n_copies", F.xxhash64("key").alias("uid")), "classes")
+    clusters = graph.components(met(docs.select(F.xxhash64("key").alias("uid"), "text"), threshold, k))
+    clusters = clusters.union(clusters.select("root", "root").distinct()).toDF("uid", "cluster")
+    clusters = common.store(clusters.join(classes, "uid").drop("uid"), "clusters")
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / CLUSTER_BLOCK).cast("int").alias("blocks"))
     own = clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
     # by text and id: copies of one text have ids of their own, and no task gets all of them
@@ -185,7 +301,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> Dat
     linked = common.store(pairs.mapInArrow(_verify(threshold), "key string, links long, root string"), "links")
     roots = graph.components(linked.select(F.col("root").alias("a"), F.col("key").alias("b")))
     total = linked.groupBy("key").agg(F.sum("links").alias("links")).join(roots.withColumnRenamed("node", "key"), "key", "left")
-    out = classes.drop("labels").join(total, "key", "left")
+    out = classes.drop("uid").join(total, "key", "left")
     return out.select("key", "doc_id", "n_copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "key").alias("root"))
 
 
@@ -202,7 +318,8 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> D
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a document: its class (the smallest id of its group of near copies) and the number of its links."""
+    """One row a document: its class (the smallest id of its group of near copies), the number of its links, and of rows of its
+    text. Null, empty and wordless texts are linked with nothing; repeated rows are copies; a null id is named last."""
     docs = common.pick(common.table(spark, sf_dir, "documents"), "doc_id", "text")
     own = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("key"))
     out = own.join(groups(docs), "key", "left")
@@ -211,8 +328,8 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies stays, of its smallest doc_id; texts without words all stay."""
-    own = docs.withColumn("_key", F.md5(F.coalesce("text", F.lit(""))))
+    own = common.packed(docs, "doc_id", "text").select("doc", "doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("key"))
     first = groups(docs).where("key = keep_key").select("keep_key", "class_id")
-    kept = own.join(first, (F.col("_key") == F.col("keep_key")) & F.col("doc_id").eqNullSafe(F.col("class_id"))).dropDuplicates(["_key"])
-    loose = docs.where(~F.coalesce(F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"), F.lit(False)))
-    return loose.unionByName(kept.select(*docs.columns))
+    kept = own.join(first, (F.col("key") == F.col("keep_key")) & F.col("doc_id").eqNullSafe(F.col("class_id"))).dropDuplicates(["key"])
+    loose = own.where(~F.coalesce(F.col("text").rlike(common.ANY_WORD), F.lit(False)))
+    return common.unpacked(loose.select("doc").union(kept.select("doc")), docs.columns)

@@ -2,49 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Keys whose least value is broadcast: those with the most rows. Any other key has less than a HUBS-th of all rows.
-HUBS = 1024
-
-
-def with_least(rows: DataFrame, key: str, value: str, spread: Column) -> DataFrame:
-    """rows and least: the smallest value of all rows with that key.
-
-    The largest keys, HUBS at most, get theirs from a broadcast table, so that no task has to read all rows of one; spread is
-    what their rows are dealt out by instead (of the type of key).
-    """
-    least = rows.groupBy(key).agg(F.min(value).alias("_least"), F.count(F.lit(1)).alias("_n"))
-    hubs = least.where("_n > 1").orderBy(F.desc("_n"), key).limit(HUBS).select(F.col(key).alias("_hub"), F.col("_least").alias("_of_hub"))
-    out = rows.join(F.broadcast(hubs), F.col(key) == F.col("_hub"), "left")
-    out = out.withColumn("_key", F.when(F.col("_of_hub").isNull(), F.col(key)).otherwise(spread))
-    out = out.join(least.select(F.col(key).alias("_other"), "_least"), F.col("_key") == F.col("_other"), "left")
-    return out.withColumn("least", F.coalesce("_of_hub", "_least")).drop("_hub", "_of_hub", "_key", "_other", "_least")
-
-
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node that it is connected with) for each node of edges (a, b) that has a smaller one.
 
     Every round replaces edges by as many at most, each node linked to the smallest of its neighbours; it ends when all
-    edges are stars. Rounds are written to the shared folder; nothing is gathered but the number of edges that changed.
+    edges are stars, after rounds of the order of the logarithm of the nodes. Rounds are written to the shared folder, and
+    the one before is removed; nothing is gathered but whether an edge changed. Nodes with very many neighbours can be split
+    between tasks, as least values are dealt out before they are joined.
     """
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     edges = common.store(edges, "edges")
-    for _ in range(most_rounds):
+    while True:
         # large star: the larger neighbours of a node are linked to the smallest of it and its neighbours
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).repartition("u")
         large = both.where("v > u").join(least, "u").where("v > m").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
         # small star: a node and its smaller neighbours are linked to the smallest of these
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
+        least = large.groupBy("b").agg(F.min("a").alias("m")).repartition("b")
         small = large.join(least, "b").select("m", "a", "b")
         small = small.select(F.col("m").alias("a"), F.col("b")).union(small.where("a > m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
         new = common.store(small, "edges")
         changed = new.join(edges, ["a", "b"], "left_anti").limit(1).count() or edges.join(new, ["a", "b"], "left_anti").limit(1).count()
+        common.discard(edges)
         edges = new
         if not changed:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

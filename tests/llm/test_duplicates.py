@@ -70,8 +70,40 @@ def test_join_of_large_clusters(spark, docs_of, tmp_path, monkeypatch, block):
 
 
 def test_matched_depth():
-    k = forest.matched_depth()
-    assert 1 - (1 - 0.8**k) ** forest.TREES >= forest.TARGET > 1 - (1 - 0.8 ** (k + 1)) ** forest.TREES
+    for similarity in (0.8, 0.85, 0.9):
+        k = forest.matched_depth(similarity)
+        assert 1 - (1 - similarity**k) ** forest.TREES >= forest.TARGET
+        assert k == forest.DEPTH or forest.TARGET > 1 - (1 - similarity ** (k + 1)) ** forest.TREES
+    for n in (1, 2, 3, 4, 6, 7, 12, 40):
+        sims = {i / (n + m - i) for m in range(1, 3 * n) for i in range(1, min(n, m) + 1)}
+        assert abs(forest.least_similarity(n, 0.8) - min(s for s in sims if s >= 0.8 - 1e-12)) < 1e-12
+    assert forest.depths()[3] == forest.DEPTH and forest.depths()[-1] == forest.matched_depth(0.8) == forest.depths().min()
+
+
+def test_met_equals_common_prefixes(spark, docs_of):
+    """What the sorted labels link is what has a common prefix in some tree, of the depth that both texts need."""
+    docs = near_copies(9, 6, 12) | {1000 + i: " ".join(f"s{i % 5}{j}" for j in range(3 + i % 4)) for i in range(20)}
+    df = docs_of(*docs.items()).select(F.col("doc_id").alias("uid"), "text")
+    rows = forest.labels(df).collect()
+
+    def prefix(label, k):
+        return tuple((label[i // 4] >> (48 - 16 * (i % 4))) & 0xFFFF for i in range(k))
+
+    root = {r.uid: r.uid for r in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(rows):
+        for y in rows[:i]:
+            k = max(x.depth, y.depth)
+            if any(prefix(x.labels[2 * t : 2 * t + 2], k) == prefix(y.labels[2 * t : 2 * t + 2], k) for t in range(forest.TREES)):
+                a, b = sorted((find(x.uid), find(y.uid)))
+                root[b] = a
+    got = {r.node: r.root for r in graph.components(forest.met(df.repartition(5))).collect()}
+    assert got == {x: find(x) for x in root if find(x) != x} and len(set(got.values())) == 7
 
 
 def test_join_odd_rows(spark, odd, none, tmp_path):
@@ -80,6 +112,7 @@ def test_join_odd_rows(spark, odd, none, tmp_path):
     rows = forest.op3_jaccard_join(spark, str(tmp_path / "0")).collect()
     assert sorted((r.doc_id or 0, r.class_id or 0, r.n_links) for r in rows) == [(0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 0), (5, 5, 2), (5, 5, 2), (6, 5, 2), (7, 7, 0)]
     assert forest.op3_jaccard_join(spark, str(tmp_path / "1")).count() == 0
+    odd = odd.select("*", *(F.lit(1).alias(c) for c in ("class_id", "keep_key", "_key", "TEXT", "doc", "DOC_ID")))
     kept = forest.stage_near_duplicates(spark, odd, "")
     assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 7]
 
