@@ -300,11 +300,14 @@ def scan(rows: DataFrame) -> DataFrame:
     each = common.store(units(rows.select("row", "text").where("text is not null")), "units")
     scored = each.select("row", "part", "unit", "matched", F.explode(F.array_distinct(F.concat("w", pairs))).alias("feature"))
     sums = scored.join(table, "feature").groupBy("row", "part", "unit", "matched").agg(*(F.sum(f"w{i}").alias(f"w{i}") for i in range(len(classes))))
-    logits = [F.col(f"w{i}") + biases[i] for i in range(len(classes))]
-    top = F.greatest(*logits)
-    total = sum((F.exp(z - top) for z in logits[1:]), F.exp(logits[0] - top))
-    each_family = [F.struct(F.lit(c).alias("family"), (F.exp(z - top) / total).alias("probability"), (z == top).alias("top")) for c, z in zip(classes[1:], logits[1:], strict=True)]
-    families = F.filter(F.array(*each_family), lambda f: F.col("matched") & (f["probability"] >= MIN_COMPARED) | (F.col("unit") >= 0) & f["top"] & (f["probability"] >= MIN_PROBABILITY))
+    logits = F.array(*(F.col(f"w{i}") + b for i, b in enumerate(biases)))
+    names = F.array(*map(F.lit, classes))
+    # one after the other inside lambdas: else each family's expression would hold those of all again
+    highest = F.transform(F.array(logits), lambda z: F.struct(z.alias("z"), F.array_max(z).alias("top")))
+    bound = F.transform(highest, lambda s: F.struct(s["z"].alias("z"), s["top"].alias("top"), F.aggregate(s["z"], F.lit(0.0), lambda t, z: t + F.exp(z - s["top"])).alias("total")))
+    each_family = F.transform(bound, lambda s: F.transform(s["z"], lambda z, i: F.struct(F.get(names, i).alias("family"), (F.exp(z - s["top"]) / s["total"]).alias("probability"), (z == s["top"]).alias("top"))))
+    likely = lambda f: F.col("matched") & (f["probability"] >= MIN_COMPARED) | (F.col("unit") >= 0) & f["top"] & (f["probability"] >= MIN_PROBABILITY)
+    families = F.filter(F.flatten(each_family), lambda f: (f["family"] != UNKNOWN) & likely(f))
     found = sums.select("row", "part", "unit", families.alias("families")).where(F.size("families") > 0)
     # what was found, beside the templates of their families
     again = each.select("row", "part", "unit", "w").join(found, ["row", "part", "unit"]).select("row", "part", "unit", "w", F.inline("families"))
