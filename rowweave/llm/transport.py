@@ -150,20 +150,25 @@ def demux(media: bytes | None) -> Stream:
     has_payload, has_field = packets[:, 3] & 0x10 != 0, packets[:, 3] & 0x20 != 0
     body_at = np.where(has_field, 5 + packets[:, 4].astype(np.int32), 4)
     maps = {}
-    for i in np.flatnonzero((pid == PAT_PID) & start):
-        for number, body in _sections(packets[i, body_at[i] :].tobytes(), 0, out):
-            maps |= {int.from_bytes(body[j + 2 : j + 4], "big") & 0x1FFF: int.from_bytes(body[j : j + 2], "big") for j in range(0, len(body), 4)}
+
+    def bodies(of: int) -> Iterator[tuple[bool, bytes]]:
+        return ((bool(start[i]), packets[i, body_at[i] :].tobytes()) for i in np.flatnonzero((pid == of) & has_payload))
+
+    for _, body in _sections(bodies(PAT_PID), 0, out):
+        for j in range(0, len(body) - 3, 4):
+            if number := int.from_bytes(body[j : j + 2], "big"):  # 0 names the network table
+                maps[int.from_bytes(body[j + 2 : j + 4], "big") & 0x1FFF] = number
     for map_pid in maps:
-        for i in np.flatnonzero((pid == map_pid) & start):
-            for number, body in _sections(packets[i, body_at[i] :].tobytes(), 2, out):
-                j, found = 4 + (int.from_bytes(body[2:4], "big") & 0xFFF), {}
-                while j + 5 <= len(body):
-                    found[int.from_bytes(body[j + 1 : j + 3], "big") & 0x1FFF] = body[j]
-                    j += 5 + (int.from_bytes(body[j + 3 : j + 5], "big") & 0xFFF)
-                out.programs[number] = found
+        for number, body in _sections(bodies(map_pid), 2, out):
+            j, found = 4 + (int.from_bytes(body[2:4], "big") & 0xFFF), {}
+            while j + 5 <= len(body):
+                found[int.from_bytes(body[j + 1 : j + 3], "big") & 0x1FFF] = body[j]
+                j += 5 + (int.from_bytes(body[j + 3 : j + 5], "big") & 0xFFF)
+            out.programs[number] = found
     parts, offset = [], 0
     for media_pid in sorted({p for x in out.programs.values() for p in x}):
         own = np.flatnonzero((pid == media_pid) & has_payload)
+        own = own[~_repeated(packets[own], body_at[own])]
         counters = packets[own, 3] & 0x0F
         out.bad_counters += int(((counters[1:] - counters[:-1]) & 0x0F != 1).sum())
         begins = np.flatnonzero(start[own])
@@ -182,7 +187,10 @@ def demux(media: bytes | None) -> Stream:
             size = int.from_bytes(pes[4:6], "big")
             if size and size != len(pes) - 6:
                 out.errors.append("an elementary packet of another size than it says")
-            out.timestamps.append(_read_timestamp(pes[9:14]) if pes[7] & 0x80 else -1)
+            timed = pes[7] & 0x80 and pes[8] >= 5
+            if pes[7] & 0x80 and not timed:
+                out.errors.append("no room for the timestamp that is announced")
+            out.timestamps.append(_read_timestamp(pes[9:14]) if timed else -1)
             at = own[a]
             if has_field[at] and packets[at, 4] and packets[at, 5] & 0x40:
                 out.random_access.append(offset)
@@ -192,15 +200,44 @@ def demux(media: bytes | None) -> Stream:
     return out
 
 
-def _sections(body: bytes, table_id: int, out: Stream) -> Iterator[tuple[int, bytes]]:
-    """(number, body) of the section at the start of a packet, if it is whole and its CRC holds."""
-    begin = 1 + body[0] if body else 0
-    size = int.from_bytes(body[begin + 1 : begin + 3], "big") & 0xFFF if len(body) >= begin + 3 else 0
-    section = body[begin : begin + 3 + size]
-    if size < 9 or len(section) < 3 + size or section[0] != table_id or section_crc(section):
+def _repeated(packets: np.ndarray, body_at: np.ndarray) -> np.ndarray:
+    """Which packets of one stream are the one before again: the same counter and payload, once at most."""
+    out = np.zeros(len(packets), bool)
+    same = np.flatnonzero((packets[1:, 3] & 0x0F == packets[:-1, 3] & 0x0F) & (body_at[1:] == body_at[:-1])) + 1
+    for i in same:
+        out[i] = not out[i - 1] and np.array_equal(packets[i, body_at[i] :], packets[i - 1, body_at[i] :])
+    return out
+
+
+def _sections(bodies: Iterator[tuple[bool, bytes]], table_id: int, out: Stream) -> Iterator[tuple[int, bytes]]:
+    """(number, body) of the sections in the payloads of one PID (with whether a section begins there) whose CRC holds; a section
+    may go on in the packets after, and several may stand in one."""
+
+    def whole(data: bytes) -> Iterator[bytes]:
+        while len(data) >= 3 and data[0] != 0xFF:
+            size = 3 + (int.from_bytes(data[1:3], "big") & 0xFFF)
+            if len(data) < size:
+                break
+            yield data[:size]
+            data = data[size:]
+        rest.append(b"" if data[:1] == b"\xff" else data)
+
+    data, rest = b"", []
+    for begins, body in bodies:
+        parts = [data + body] if not begins else [data + body[1 : 1 + body[0]], body[1 + body[0] :]] if body else []
+        if not begins and not data:
+            continue  # stuffing, or what began before the first packet
+        for k, part in enumerate(parts):
+            for section in whole(part):
+                if section[0] != table_id or len(section) < 12 or section_crc(section):
+                    out.errors.append("a bad program table")
+                else:
+                    yield int.from_bytes(section[3:5], "big"), section[8:-4]
+            data = rest.pop()
+            if data and k < len(parts) - 1:  # another section begins before this one's end
+                out.errors.append("a bad program table")
+    if data:
         out.errors.append("a bad program table")
-        return
-    yield int.from_bytes(section[3:5], "big"), section[8:-4]
 
 
 def padded(text: str | None) -> tuple[bytes, int]:
@@ -260,6 +297,8 @@ def features(media: DataFrame, *keep: str) -> DataFrame:
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a transport stream and what is read back from it. Null and empty texts are 64 zeros; repeated rows and
+    null ids are rows like any other; equal texts give equal values."""
     media = encode(common.table(spark, sf_dir, "documents"), "doc_id")
     out = features(media, "doc_id", "n_bytes")
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.size("timestamps").alias("n_timestamps"), F.size("random_access").alias("n_random_access"))
