@@ -1,9 +1,10 @@
 """HTML extraction with removal of site templates.
 
 A page is parsed into a flat list of elements and texts. Every element subtree has a hash of its tags and words; Spark
-counts on how many pages of a host each hash is, and subtrees that recur on many of the host's pages are deleted. Inside
-an article only containers (lists, tables, divisions) can be such a template: paragraphs and headings of an article are
-its own, also if other pages repeat them.
+counts on how many different pages of a host each hash is, and subtrees that recur on many of the host's pages are deleted.
+Inside an article only containers (lists, tables, divisions) can be such a template: paragraphs and headings of an article are
+its own, also if other pages repeat them. Nothing that holds more than half of a page's words is one. Menus, adverts and the
+like that are on few pages go by their element, role or class; a class counts only if all its words are such.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A subtree is a template from so many pages of a host on, and from this part of them on.
-MIN_PAGES, MIN_SHARE = 5, 0.5
+#: A subtree is a template from so many different pages of a host on, and from this part of them on, and if it has at most
+#: this part of a page's words.
+MIN_PAGES, MIN_SHARE, MOST_OF_PAGE = 5, 0.02, 0.5
 
 _ATTRS = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+"
 _TOKEN = re.compile(rf"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRS})>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S)
@@ -40,6 +42,8 @@ _NOISE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert menu nav navbar navigation breadcrumb breadcrumbs "
     "footer sidebar aside comment comments disqus replies respond share sharing social related newsletter subscribe subscription popup modal overlay widget widgets pagination pager login signup search toolbar skip masthead copyright".split()
 )
+#: What may stand beside such words in a class or id.
+_NEUTRAL = frozenset("area bar block body bottom box container content header inner item items left link links list main outer page pages panel post posts right section site slot text title top unit wrap wrapper".split())
 _NOISE_ROLES = frozenset("navigation banner complementary contentinfo search dialog alertdialog menu menubar form".split())
 
 
@@ -52,6 +56,8 @@ class Page:
     hidden: list[bool] = field(default_factory=list)
     inside: list[bool] = field(default_factory=list)  # in an article
     hashes: list[bytes] = field(default_factory=list)
+    sizes: list[int] = field(default_factory=list)  # words of the subtree
+    size: int = 0  # words of what is shown
 
 
 def _noise(tag: str, attrs: str, in_article: bool) -> bool:
@@ -62,9 +68,9 @@ def _noise(tag: str, attrs: str, in_article: bool) -> bool:
     for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), next((v for v in values if v), "").lower()
         if name in ("class", "id"):
-            tokens = set(re.split(r"[^a-z0-9]+", value))
-            if tokens & _NOISE or "header" in tokens and not in_article and tag != "article":
-                return True
+            for tokens in ({t for t in re.split(r"[^a-z]+", own) if t} for own in value.split()):
+                if tokens & _NOISE and tokens <= _NOISE | _NEUTRAL or "header" in tokens and tokens <= _NEUTRAL and not in_article and tag != "article":
+                    return True
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in _NOISE_ROLES or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
     return False
@@ -82,6 +88,7 @@ def parse(source: str) -> Page:
             page.hashes[i] = hashlib.blake2b(b"\0".join(own), digest_size=8).digest()
             if parts:
                 parts[-1].append(page.hashes[i])
+                page.sizes[stack[-1]] += page.sizes[i]
             page.events.append(("c", i))
 
     while at < n:
@@ -92,8 +99,11 @@ def parse(source: str) -> Page:
             if m[0][0] != "<" or m[0] == "<":
                 text = html_.unescape(m[0]) if "&" in m[0] else m[0]
                 page.events.append(("t", text))
-                if parts and (words := text.split()):
-                    parts[-1].append(" ".join(words).encode("utf-8", "surrogatepass"))
+                if words := text.split():
+                    page.size += 0 if stack and page.hidden[stack[-1]] else len(words)
+                    if parts:
+                        parts[-1].append(" ".join(words).encode("utf-8", "surrogatepass"))
+                        page.sizes[stack[-1]] += len(words)
             continue
         tag, ends, attrs = tag.lower(), m[1] or m[4], m[3] if m[2] else m[6]
         if ends:
@@ -135,6 +145,7 @@ def parse(source: str) -> Page:
         page.hidden.append(above is not None and page.hidden[above] or _noise(tag, attrs, in_article))
         page.inside.append(in_article or tag == "article" and not page.hidden[i])
         page.hashes.append(b"")
+        page.sizes.append(0)
         page.events.append(("o", i))
         stack.append(i)
         parts.append([tag.encode()])
@@ -181,9 +192,9 @@ def main_text(page: Page, templates: frozenset[bytes] | set[bytes] = frozenset()
 
 
 def deletable(page: Page, i: int) -> bool:
-    """Whether an element goes if it recurs: not the page's frame, and of an article only containers in it."""
+    """Whether an element goes if it recurs: not the page's frame, nor most of it, and of an article only containers in it."""
     tag = page.tags[i]
-    return tag not in ("html", "body", "head", "main", "article") and (tag in _CONTAINER or tag in _BLOCK and not page.inside[i])
+    return page.sizes[i] <= MOST_OF_PAGE * page.size and tag not in ("html", "body", "head", "main", "article") and (tag in _CONTAINER or tag in _BLOCK and not page.inside[i])
 
 
 def host_of(url: Column) -> Column:
@@ -200,24 +211,29 @@ def _in_runs(step):
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """host, hash: once a page for each shown element that could be a template."""
+    """host, page (a hash of the html), hash: for each shown element that could be a template."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hosts, found = [], []
+        hosts, of, found = [], [], []
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             page = parse(source or "")
-            own = {page.hashes[i] for i in range(len(page.tags)) if not page.hidden[i] and deletable(page, i)}
+            own = sorted({page.hashes[i] for i in range(len(page.tags)) if not page.hidden[i] and page.sizes[i] and deletable(page, i)})
             hosts += [host] * len(own)
-            found += sorted(own)
-        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.binary())], ["host", "hash"])
+            of += [int.from_bytes(hashlib.blake2b((source or "").encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)] * len(own)
+            found += own
+        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(of, pa.int64()), pa.array(found, pa.binary())], ["host", "page", "hash"])
 
-    return pages.select("host", "html").mapInArrow(_in_runs(step), "host string, hash binary")
+    return pages.select("host", "html").mapInArrow(_in_runs(step), "host string, page long, hash binary")
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, templates: hashes of subtrees on so many of the host's pages (at most 1 / min_share times a page's elements)."""
-    n = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
-    counts = subtrees(pages).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    """host, templates: hashes of subtrees on so many of the host's different pages (at most 1 / min_share times a page's elements).
+
+    Pages that are the same in all count once; pages without a host have no templates.
+    """
+    pages = pages.where("host <> ''")
+    n = pages.groupBy("host").agg(F.count_distinct(F.xxhash64(F.coalesce("html", F.lit("")))).alias("pages")).where(F.col("pages") >= min_pages)
+    counts = subtrees(pages).distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     often = counts.join(n, "host").where(F.col("n") >= min_share * F.col("pages"))
     return often.groupBy("host").agg(F.collect_list("hash").alias("templates"))
 
@@ -240,4 +256,6 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of each page. Null and empty pages have an empty text; repeated rows are rows of their own, but one page when
+    the host's templates are counted; null urls have no host and so no templates; pages of any length are parsed whole."""
     return extract(common.table(spark, sf_dir, "pages"))
