@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,8 +24,10 @@ TARGET_BYTES = 64 << 20
 #: Rows of an arriving file at most; files of a run at least, unless they fill a target-sized file; smallest tier's size.
 ARRIVAL_ROWS, FANOUT, SMALLEST = 2048, 4, 64 << 10
 COMPRESSION = "zstd"
-#: Files of one tier that are put in order in one place when runs are formed.
-PLAN_ROWS = 100_000
+#: Files of one tier that are put in order in one place when runs are formed, and files that are merged in one commit, about.
+PLAN_ROWS, ROUND_FILES = 100_000, 50_000
+#: A claim on a version is void after so many seconds; folders that no version names are removed after so many.
+CLAIM_SECONDS, ORPHAN_SECONDS = 600, 24 * 3600
 
 
 class CommitConflict(RuntimeError):
@@ -73,6 +76,9 @@ class Store:
         stream.close()
         claim = self._path(f"{self.root}/versions/.claim-{version:08d}")
         try:
+            # a writer that died before its entry was moved must not block the version for ever
+            if self._fs.exists(claim) and not self._fs.exists(final) and self._age(claim) > CLAIM_SECONDS:
+                self._fs.delete(claim, False)
             self._fs.create(claim, False).close()  # only one writer gets it
         except Exception as e:
             self._fs.delete(draft, False)
@@ -81,6 +87,10 @@ class Store:
             self._fs.delete(draft, False)
             raise CommitConflict(f"version {version} is there already")
 
+    def _age(self, path) -> float:
+        """Seconds since a file or folder was written."""
+        return time.time() - self._fs.getFileStatus(path).getModificationTime() / 1000
+
     # files
 
     def manifest(self, version: int | None = None) -> DataFrame:
@@ -144,7 +154,8 @@ class Store:
         return small.join(runs.select("tier", "part", "nth", "run"), ["tier", "part", "nth"]).select("path", "run")
 
     def compact(self, target: int = TARGET_BYTES, fanout: int = FANOUT, keep_old: bool = False) -> int:
-        """Merge runs of similar files until no tier has one; returns the version. Without keep_old, files go that no live version names."""
+        """Merge runs of similar files until no tier has one; returns the version. Without keep_old, files go that
+        neither the last version nor the one before it names."""
         while True:
             version = self.version()
             if not version:
@@ -156,13 +167,32 @@ class Store:
             entry = self._entry(version)
             schema = StructType.fromJson(entry["schema"])
             job = f"{self.root}/data/{version + 1:08d}-{uuid.uuid4().hex}"
-            rows = self.spark.read.schema(schema).parquet(*entry["jobs"]).select("*", F.col("_metadata.file_path").alias("path"))
+            # the first runs of about ROUND_FILES files; the others are for the next rounds
+            sizes = plan.groupBy("run").agg(F.count(F.lit(1)).alias("n")).groupBy(F.floor(F.col("run") / 1024).alias("part")).agg(F.sum("n").alias("n")).orderBy("part").collect()
+            last, files = 1024, 0
+            for r in sizes:
+                if files and files + r.n > ROUND_FILES:
+                    break
+                last, files = 1024 * (r.part + 1), files + r.n
+            plan, runs = plan.where(F.col("run") < last), min(runs, last)
+            rows = self.spark.read.schema(schema).parquet(*(r.path for r in plan.select("path").collect())).select("*", F.col("_metadata.file_path").alias("path"))
             rows.join(plan, "path").repartitionById(runs, F.col("run")).drop("path", "run").write.option("compression", COMPRESSION).parquet(job)
             live = self.manifest(version).join(plan, "path", "left_anti").unionByName(self._listed(job, version + 1, schema))
             self._publish(version + 1, live, schema, entry["names"])
             if not keep_old:
-                for old in set(entry["jobs"]) - set(self._entry(version + 1)["jobs"]):
-                    self._fs.delete(self._path(old), True)
+                self.vacuum()
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Remove the data that none of the last versions names: readers of the one before the last aren't disturbed. What no
+        version ever named is a job that failed or still runs; it goes when it is old."""
+        versions = sorted(int(s.getPath().getName()) for s in self._fs.listStatus(self._path(f"{self.root}/versions")) if s.getPath().getName().isdigit())
+        entries = {v: {j.rsplit("/", 1)[1] for j in self._entry(v)["jobs"]} for v in versions}
+        live = set().union(*(entries[v] for v in versions[-keep:]))
+        for status in self._fs.listStatus(self._path(f"{self.root}/data")):
+            job = status.getPath()
+            named = any(job.getName() in jobs for jobs in entries.values())
+            if job.getName() not in live and (named or self._age(job) > ORPHAN_SECONDS):
+                self._fs.delete(job, True)
 
 
 def sharded(docs: DataFrame, target: int = TARGET_BYTES, arrival_rows: int = ARRIVAL_ROWS) -> DataFrame:
@@ -177,6 +207,8 @@ def sharded(docs: DataFrame, target: int = TARGET_BYTES, arrival_rows: int = ARR
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file of each document after arrival and compaction, with its bytes and rows. Nulls, repeated rows, empty and long texts
+    are kept as they are; files of equal size are taken in the order of their names."""
     docs = common.table(spark, sf_dir, "documents")
     return common.pick(sharded(docs), "doc_id", *added(docs.columns)).toDF("doc_id", "shard", "shard_bytes", "shard_rows")
 
