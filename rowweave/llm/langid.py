@@ -19,7 +19,9 @@ from . import arrays, common
 BITS = 16
 ORDERS = (1, 2, 3)
 #: Labels a model may tell apart: the broadcast matrix is at most MAX_LANGS * 2**BITS * 4 bytes.
-MAX_LANGS = 512
+MAX_LANGS = 128
+#: Languages whose counts a task holds at once (1.5 MB each).
+HELD = 16
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 _letters: list[np.ndarray] = []
 
@@ -75,37 +77,49 @@ def train(docs: DataFrame, max_langs: int = MAX_LANGS) -> tuple[list[str], np.nd
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         texts: dict[str, int] = {}
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, own in counts.items():
+                own = np.concatenate((own, [texts[lang]]))
+                there = np.flatnonzero(own)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(there), pa.string()), pa.array(there, pa.int64()), pa.array(own[there], pa.int64())], ["lang", "at", "n"])
+            counts.clear()
+            texts.clear()
+
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), object)
             for lang in sorted(set(langs)):
+                if lang not in counts and len(counts) == HELD:
+                    yield from out()
                 rows = np.flatnonzero(langs == lang)
                 texts[lang] = texts.get(lang, 0) + len(rows)
                 own = counts.setdefault(lang, np.zeros(width, np.int64))
                 for _, _, data, offsets in arrays.blocks(batch.column(0).take(pa.array(rows))):
                     for k, h in enumerate(grams(data, offsets)[0]):
                         own[k << BITS : (k + 1) << BITS] += np.bincount(h, minlength=1 << BITS)
-        for lang, own in counts.items():
-            own = np.concatenate((own, [texts[lang]]))
-            there = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(there), pa.string()), pa.array(there, pa.int64()), pa.array(own[there], pa.int64())], ["lang", "at", "n"])
+        yield from out()
 
     langs = [r[0] for r in docs.select("lang").distinct().orderBy("lang").limit(max_langs + 1).collect()]
     if len(langs) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
     total = docs.mapInArrow(count, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((len(langs), width + 1))
-    place = {lang: i for i, lang in enumerate(langs)}
-    counts[[place[x] for x in total["lang"].to_pylist()], total["at"].to_numpy()] = total["n"].to_numpy()
-    prior = np.log(np.maximum(counts[:, -1], 1) / max(counts[:, -1].sum(), 1))
-    by_order = counts[:, :-1].reshape(len(langs), len(ORDERS), 1 << BITS)
-    used = np.maximum((by_order.sum(0) > 0).sum(-1, keepdims=True), 1)
-    smooth = by_order + 0.5
-    logs = np.log(smooth / (by_order.sum(-1, keepdims=True) + 0.5 * used))
-    return langs, prior, logs.reshape(len(langs), width).astype(np.float32)
+    code, at, n = np.searchsorted(langs, total["lang"].to_pylist()) if langs else np.empty(0, int), total["at"].to_numpy(), total["n"].to_numpy()
+    by = np.argsort(code, kind="stable")
+    at, n, ends = at[by], n[by], np.searchsorted(code[by], np.arange(len(langs) + 1))
+    used = np.zeros(width + 1, bool)
+    used[at] = True
+    used = np.maximum(used[:-1].reshape(len(ORDERS), -1).sum(-1), 1)
+    prior, logs = np.zeros(len(langs)), np.empty((len(langs), width), np.float32)
+    for i in range(len(langs)):  # one row of the matrix at a time
+        own = np.zeros(width + 1)
+        own[at[ends[i] : ends[i + 1]]] = n[ends[i] : ends[i + 1]]
+        prior[i], by_order = own[-1], own[:-1].reshape(len(ORDERS), -1)
+        logs[i] = np.log((by_order + 0.5) / (by_order.sum(-1) + 0.5 * used)[:, None]).ravel()
+    return langs, np.log(np.maximum(prior, 1) / max(prior.sum(), 1)), logs
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], *keep: str) -> DataFrame:
-    """keep, lang_pred (und for null and for texts without a letter) and score (its probability; 0 for und)."""
+    """keep, lang_pred (und for null and for texts without a letter) and score (its probability; 0 for und). Of languages that
+    are equally likely the first by code point is taken."""
     spark = docs.sparkSession
     langs, shared = model[0], spark.sparkContext.broadcast(model)
     docs = common.pick(docs, *keep, "text") if "text" not in keep else common.pick(docs, *keep)
@@ -138,6 +152,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], *k
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document by a model of those outside the held-out fold. Null texts and texts without a letter are
+    und; rows without text or lang teach nothing; repeated rows count each time; a null id isn't held out."""
     docs = common.pick(common.table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
     model = train(docs.where(common.bucket_of(F.col("doc_id")) != 0))
     out = predict(docs.select("doc_id", "text"), model, "doc_id")
@@ -147,6 +163,6 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of which no language is likely (under a half), go."""
-    model = train(docs)
-    out = predict(docs, model, *docs.columns)
-    return out.where("lang_pred <> 'und' and score >= 0.5").select(*docs.columns)
+    rows = common.packed(docs, "text", "lang")
+    out = predict(rows, train(rows), "doc")
+    return common.unpacked(out.where("lang_pred <> 'und' and score >= 0.5"), docs.columns)

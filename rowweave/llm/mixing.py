@@ -164,6 +164,8 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes. Null, empty and blank texts have size 0 and take no part; null is a source
+    like any other, the last; repeated rows are documents of their own; null ids are one id."""
     mixed = mix(sized(common.table(spark, sf_dir, "documents")))
     taken = mixed.taken().select("doc_id", "src", "size", "taken")
     taken = taken.unionByName(mixed.documents.where("size = 0").select("doc_id", "src", "size", F.lit(0).cast("long").alias("taken")))
@@ -175,17 +177,16 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Rows with the same id, source and size can't be told apart by the mix and share their number of takes by rank.
     """
-    columns = docs.columns
     mixed = mix(sized(docs))
-    same = Window.partitionBy("_id", "_size", "_source")
-    times = mixed.taken().join(mixed.sources.select("src", F.col("source").alias("_source")), "src")
-    times = times.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_source", F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int").alias("_times"), "start")
-    times = times.withColumn("_nth", F.row_number().over(same.orderBy("start"))).drop("start").where("_times > 0")
-    own = docs.select(*(docs[c] for c in columns), docs["doc_id"].alias("_id"), docs["source"].alias("_source"), F.coalesce(F.regexp_count("text", F.lit(common.TOKEN)), F.lit(0)).cast("long").alias("_size"))
-    own = own.withColumn("_nth", F.row_number().over(same.orderBy(F.xxhash64("text"))))
-    on = [own[c].eqNullSafe(times[c]) for c in ("_id", "_size", "_source", "_nth")]
-    taken = own.join(times, on).select(*(own[c] for c in columns), times["_times"])
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*columns)
+    same = Window.partitionBy("id", "size", "src_name")
+    times = mixed.taken().join(mixed.sources.select("src", F.col("source").alias("src_name")), "src")
+    times = times.select(F.col("doc_id").alias("id"), "size", "src_name", F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int").alias("times"), "start")
+    times = times.withColumn("nth", F.row_number().over(same.orderBy("start"))).drop("start").where("times > 0")
+    size = F.coalesce(F.regexp_count("text", F.lit(common.TOKEN)), F.lit(0)).cast("long")
+    own = common.packed(docs, "doc_id", "source", "text").select("doc", F.col("doc_id").alias("id"), F.col("source").alias("src_name"), size.alias("size"), F.xxhash64("text").alias("hash"))
+    own = own.withColumn("nth", F.row_number().over(same.orderBy("hash")))
+    taken = own.join(times, [own[c].eqNullSafe(times[c]) for c in ("id", "size", "src_name", "nth")]).select(own["doc"], times["times"])
+    return common.unpacked(taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))), docs.columns)
 
 
 ORACLE_OP10 = r"""

@@ -1,6 +1,8 @@
 """Transport streams, HTML extraction, shards, mixing, the pipeline, SQL."""
 
 import hashlib
+import math
+import time
 import zlib
 
 import duckdb
@@ -44,6 +46,30 @@ def test_any_bytes_are_a_stream(raw):
     transport.demux(transport.mux(b"x" * 300) + raw)
 
 
+def test_tables_over_several_packets_and_repeated_packets():
+    """A program map of many streams, with a network table in the association and a legal repetition of a media packet."""
+    pids = [0x100, *range(0x300, 0x360)]
+    body = bytes([0xE1, 0, 0xF0, 0]) + b"".join(bytes([6, 0xE0 | p >> 8, p & 0xFF, 0xF0, 0]) for p in pids)
+    section = transport._section(2, 1, body)
+    assert len(section) > 2 * 184
+    raw = b"\0" + section
+    packets = [raw[i : i + 184].ljust(184, b"\xff") for i in range(0, len(raw), 184)]
+    pmt = b"".join(bytes([0x47, (0x40 if k == 0 else 0) | 0x10, 0, 0x10 | k]) + x for k, x in enumerate(packets))
+    pat = transport._table_packet(0, transport._section(0, 1, bytes([0, 0, 0xE0, 0x10, 0, 1, 0xF0, 0])))
+    payload = bytes(range(256)) * 8
+    media = transport.mux(payload)[2 * 188 :]
+    out = transport.demux(pat + pmt + media[: 3 * 188] + media[2 * 188 :])
+    assert out.payload == payload and out.programs == {1: {p: 6 for p in pids}} and not out.bad_counters and not out.errors
+    assert transport.demux(pat + pmt[:188] + media).errors == ["a bad program table"]
+
+
+def test_short_elementary_packets():
+    body = b"\0\0\1\xbd\0\4\x80\x80\0x"  # a timestamp is announced, and there is no room for it
+    packet = bytes([0x47, 0x41, 0, 0x30, 184 - len(body) - 1, 0]).ljust(188 - len(body), b"\xff") + body
+    out = transport.demux(transport.TABLES + packet)
+    assert out.timestamps == [-1] and out.payload == b"x" and len(out.errors) == 1
+
+
 def test_media_columns(spark, sf, odd, none):
     docs = {r.doc_id: r.text for r in common.table(spark, sf, "documents").collect()}
     for r in transport.op2_media(spark, sf).collect():
@@ -100,6 +126,38 @@ def test_site_templates(spark):
     assert webtext.extract(df.limit(0)).count() == 0
 
 
+def test_classes_and_repeated_pages(spark):
+    keep = "<article><p>One.</p><div class='related-work'>Two.</div><section id='search-algorithms'>Three.</section></article>"
+    assert webtext.main_text(webtext.parse(keep)) == "One.\nTwo.\nThree."
+    assert webtext.main_text(webtext.parse("<main><div class='social-history'>Kept.</div><div class='x related-posts'>no</div><div id=ad-slot-3>no</div></main>")) == "Kept."
+    page = "<body><div><p>A page that was stored six times.</p></div></body>"
+    pages = [(1, "http://a.example/x", page)] * 6 + [(i, None, f"<p>Said by all.</p><p>own {i} words of it</p>") for i in range(10, 18)]
+    out = webtext.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.text for r in out if r.page_id == 1} == {"A page that was stored six times."}
+    assert all(r.text == f"Said by all.\nown {r.page_id} words of it" for r in out if r.page_id != 1)
+
+
+def test_templates_equal_a_plain_count(spark):
+    """Of a large host's pages a twentieth have a box; pages are counted one by one."""
+    box = "<div>See our other offers</div>"
+    pages = [(i, f"http://h.example/{i}", f"<body><div>Home</div>{box if i % 20 == 0 else ''}<p>The own words of page number {i} are these.</p></body>") for i in range(200)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", webtext.host_of(F.col("url")))
+    counts = {}
+    for _, _, html in pages:
+        page = webtext.parse(html)
+        for h in {page.hashes[i] for i in range(len(page.tags)) if not page.hidden[i] and webtext.deletable(page, i)}:
+            counts[h] = counts.get(h, 0) + 1
+    (row,) = webtext.templates(df).collect()
+    assert set(map(bytes, row.templates)) == {h for h, n in counts.items() if n >= max(5, 0.02 * 200)} and len(row.templates) == 2
+    assert all(r.text == f"The own words of page number {r.page_id} are these." for r in webtext.extract(df.drop("host")).collect())
+
+
+def test_long_pages(spark):
+    text = " ".join(f"w{i}" for i in range(200_000))
+    df = spark.createDataFrame([(1, "http://a.example", f"<nav>x</nav><article><p>{text}</p>{'<div>' * 5000}end</article>")], "page_id long, url string, html string")
+    assert webtext.extract(df).first().text == f"{text}\nend"
+
+
 def test_articles_of_pages(spark, sf):
     """The article of each page is a text of documents, its first words as a heading before it."""
     docs = {" ".join(r.text.split()) for r in common.table(spark, sf, "documents").collect()}
@@ -139,6 +197,54 @@ def test_only_one_commit_of_a_version(spark, tmp_path):
     assert b.read().count() == 3
 
 
+def test_a_dead_claim_does_not_block(spark, tmp_path):
+    store = shards.Store(spark, str(tmp_path / "s"))
+    store.append(spark.range(3))
+    claim = store._path(f"{store.root}/versions/.claim-00000002")
+    store._fs.create(claim, False).close()
+    with pytest.raises(shards.CommitConflict):
+        store.append(spark.range(3))  # its writer may still be at work
+    store._fs.setTimes(claim, int(1000 * (time.time() - shards.CLAIM_SECONDS - 60)), -1)
+    assert store.append(spark.range(3)) == 2 and store.read().count() == 6
+
+
+def test_vacuum_keeps_the_last_two_versions(spark, tmp_path):
+    store = shards.Store(spark, str(tmp_path / "s"))
+    for _ in range(5):
+        store.append(spark.range(1000), 100)
+    version = store.compact(target=1 << 20)
+    assert store.read(version - 1).count() == store.read(version).count() == 5000
+    orphan = store._path(f"{store.root}/data/failed")
+    store._fs.mkdirs(orphan)
+    store.append(spark.range(1))
+    store.vacuum()
+    assert store._fs.exists(orphan) and store.read(version).count() == 5000
+    store._fs.setTimes(orphan, int(1000 * (time.time() - shards.ORPHAN_SECONDS - 60)), -1)
+    store.append(spark.range(1))
+    store.vacuum(1)
+    assert not store._fs.exists(orphan) and store.read().count() == 5002
+
+
+def test_plan_equals_a_plain_planner(spark, tmp_path):
+    """Files of a tier in the order of their names are cut at the target size; runs of fanout files or a full file are merged."""
+    store = shards.Store(spark, str(tmp_path / "s"))
+    rows = spark.range(4000).select(F.col("id"), F.md5(F.col("id").cast("string")).alias("text"))
+    for n in (50, 50, 400, 3000):
+        store.append(rows.limit(n * 8), n)
+    target, fanout, smallest = 60_000, 3, shards.SMALLEST
+    files = [(max(0, math.floor(math.log(r.bytes / smallest, fanout))), r.shard, r.bytes, r.path) for r in store.manifest().collect() if r.bytes < target // 2]
+    runs, before = {}, {}
+    for tier, shard, size, path in sorted(files):
+        nth = before.get(tier, 0) // target
+        before[tier] = before.get(tier, 0) + size
+        runs.setdefault((tier, nth), []).append((path, size))
+    want = {frozenset(p for p, _ in r) for r in runs.values() if len(r) >= fanout or len(r) > 1 and sum(s for _, s in r) >= target}
+    got = {}
+    for r in store.plan(target, fanout).collect():
+        got.setdefault(r.run, set()).add(r.path)
+    assert {frozenset(x) for x in got.values()} == want and len(want) > 1
+
+
 def test_shards_of_documents(spark, sf, odd, none):
     docs = common.table(spark, sf, "documents")
     out = shards.sharded(docs, target=100_000, arrival_rows=10)
@@ -217,6 +323,17 @@ def test_schedule_is_spread(spark, sf):
         assert [x.rank for x in slots if x.src == s] == list(range(sum(x.src == s for x in slots)))
 
 
+def test_stages_with_clashing_columns(spark, odd):
+    """Extra columns of any name, also such that stages use themselves, come out as they went in."""
+    from rowweave.llm import langid
+
+    clash = odd.select("*", *(F.lit(f"x{i}").alias(c) for i, c in enumerate(("score", "TEXT", "_id", "_times", "times", "id", "nth", "doc", "copy", "lang_pred", "Source", "src"))))
+    for stage in (langid.stage_language, mixing.stage_mixing):
+        out = stage(spark, clash, "")
+        assert out.columns == clash.columns and out.count() > 0
+        assert {tuple(r)[-12:] for r in out.collect()} == {tuple(f"x{i}" for i in range(12))}
+
+
 def test_mixing_stage(spark, sf):
     docs = common.table(spark, sf, "documents")
     out = mixing.stage_mixing(spark, docs, sf)

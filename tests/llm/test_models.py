@@ -38,6 +38,45 @@ def test_language_counts_do_not_depend_on_neighbours(docs_of):
     assert np.array_equal(langid.train(a)[2], langid.train(b)[2])
 
 
+def test_language_equals_plain_naive_bayes(docs_of):
+    """Scores of a program that counts n-grams text by text in a dictionary of the same buckets."""
+    train = [("der hund und die katze", "de"), ("the dog and the cat", "en"), ("le chien et le chat", "fr"), ("die maus", "de"), ("the mouse, the house!", "en"), (None, "en"), ("x", None), ("el perro y el gato", "es")]
+    asked = ["the cat and a mouse", "die katze", "chat", "perro", "12", "", None, "É" * 3 + " dog"]
+
+    def buckets(text):
+        return [list(h) for h in langid.grams(np.frombuffer((text or "").encode(), np.uint8), np.array([0, len((text or "").encode())]))[0]]
+
+    counts, texts = {}, Counter(lang for t, lang in train if t is not None and lang is not None)
+    for t, lang in train:
+        if t is not None and lang is not None:
+            for order, found in enumerate(buckets(t)):
+                counts.setdefault(lang, [Counter() for _ in langid.ORDERS])[order].update(found)
+    used = [len(set().union(*(c[o] for c in counts.values()))) for o in range(len(langid.ORDERS))]
+    model = langid.train(docs_of(*((i, t, lang) for i, (t, lang) in enumerate(train))))
+    assert model[0] == sorted(counts)
+    for r in langid.predict(docs_of(*enumerate(asked)), model, "doc_id").collect():
+        text = asked[r.doc_id]
+        if not any(c.isalpha() for c in text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        z = {}
+        for lang, own in counts.items():
+            z[lang] = math.log(texts[lang] / sum(texts.values()))
+            for o, found in enumerate(buckets(text)):
+                z[lang] += sum(math.log((own[o][h] + 0.5) / (sum(own[o].values()) + 0.5 * used[o])) for h in found)
+        best = max(sorted(z), key=z.get)
+        assert r.lang_pred == best and math.isclose(r.score, 1 / sum(math.exp(x - z[best]) for x in z.values()), rel_tol=1e-3)
+
+
+def test_as_many_languages_as_a_model_may_tell_apart(docs_of):
+    rows = [(i, f"{chr(0x4E00 + 7 * i)}{chr(0x5E00 + 5 * i)} {chr(0x6E00 + 3 * i)}", f"l{i:03d}") for i in range(langid.MAX_LANGS)]
+    docs = docs_of(*rows).coalesce(2)
+    out = {r.doc_id: r.lang_pred for r in langid.predict(docs, langid.train(docs), "doc_id").collect()}
+    assert all(out[i] == lang for i, _, lang in rows)
+    with pytest.raises(ValueError):
+        langid.train(docs_of(*rows, (-1, "x", "one more")))
+
+
 def plain_ppm(texts, order, most):
     """log10 of the probability of a text by definition, with sets of excluded bytes."""
     counts, total = Counter(), 0
