@@ -29,6 +29,13 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*(F.col(f"_{at[name]}").alias(name) for name in names))
 
 
+def plain(df: DataFrame, *names: str) -> DataFrame:
+    """df with columns called _0, _1, ..., but for the named ones, which keep their names."""
+    at = {name: i for i, name in reversed(list(enumerate(df.columns)))}
+    kept = {at[name]: name for name in names}
+    return df.toDF(*(kept.get(i, f"_{i}") for i in range(len(df.columns))))
+
+
 def packed(df: DataFrame, *names: str, keep: tuple[str, ...] | None = None) -> DataFrame:
     """doc, a struct of all columns (or those in keep) as _0, _1, ..., beside the named columns: whatever other columns are called."""
     at = {name: i for i, name in reversed(list(enumerate(df.columns)))}

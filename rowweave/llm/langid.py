@@ -163,6 +163,6 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of which no language is likely (under a half), go."""
-    rows = common.packed(docs, "text", "lang")
-    out = predict(rows, train(rows), "doc")
-    return common.unpacked(out.where("lang_pred <> 'und' and score >= 0.5"), docs.columns)
+    rows = common.plain(docs, "text", "lang")
+    out = predict(rows, train(rows), *rows.columns)
+    return out.where("lang_pred <> 'und' and score >= 0.5").select(*rows.columns).toDF(*docs.columns)
