@@ -39,16 +39,36 @@ def encode_avro(column: Column | str, schema: Schema | str, custom: tuple[Custom
 
 
 def _zeros_omitted(schema: Schema, column: Column) -> Column:
-    """Zeros, empty strings and false as null in the root's nullable fields that say omitzero."""
-    root = schema.of(schema.root)
-    for f in root.fields:
-        members = union_of(schema.of(f.type))[0] if schema.of(f.type).kind == "union" else []
+    """Zeros, empty strings and false as null in nullable fields that say omitzero, in the root and in records within it (also
+    nullable ones and those of arrays)."""
+    out = _without_zeros(schema, schema.root, column, frozenset())
+    return column if out is None else out
+
+
+def _without_zeros(schema: Schema, node: Any, column: Column, above: frozenset[str]) -> Column | None:
+    """The column without zeros, or None where nothing says omitzero."""
+    node = schema.of(node)
+    if node.kind == "union":
+        members, _ = union_of(node)
+        return _without_zeros(schema, members[0][1], column, above) if len(members) == 1 else None
+    if node.kind == "array":
+        probe = _without_zeros(schema, node.items, F.lit(None), above)
+        return None if probe is None else F.transform(column, lambda x: _without_zeros(schema, node.items, x, above))
+    if node.kind != "record" or node.name in above:  # a record within itself is left as it is
+        return None
+    out = None
+    for f in node.fields:
+        of, own = schema.of(f.type), column.getField(f.name)
+        new = _without_zeros(schema, f.type, own, above | {node.name})
+        members = union_of(of)[0] if of.kind == "union" else []
         if f.props.get("omitzero") and len(members) == 1:
             kind = schema.of(members[0][1]).kind
             zero = {"boolean": False, "string": "", "bytes": bytearray()}.get(kind, 0)
             if kind in ("boolean", "int", "long", "float", "double", "string", "bytes"):
-                column = column.withField(f.name, F.nullif(column.getField(f.name), F.lit(zero)))
-    return column
+                new = F.nullif(own, F.lit(zero))
+        if new is not None:
+            out = (column if out is None else out).withField(f.name, new)
+    return out
 
 
 def _reader(writer: Schema, reader: Schema | str | None, columns: list[str] | None) -> Schema | None:

@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import DataError
+from ..operators.decode import decode_column
+from ..plans.mapping import arrow_type
+from ..plans.resolve import plan
 from ..plans.schema import Registry, Schema, rabin
 from .codec import as_schema, decode_avro, encode_avro
 
@@ -49,12 +56,35 @@ def decode_soe(column: Column | str, writer: Schema | str, reader: Schema | str
     return decode_avro(payload, writer, reader, mode="permissive" if mode == "permissive" else "failfast")
 
 
-def read_versions(df: DataFrame, column: str, schemas: Registry | list[Schema | str], reader: Schema | str, into: str = "value") -> DataFrame:
-    """df with messages of several schemas in one column, decoded as reader. A message of none of the schemas is left out.
+def read_versions(df: DataFrame, column: str, schemas: Registry | list[Schema | str], reader: Schema | str, into: str = "value", unknown: str = "error") -> DataFrame:
+    """df with messages of several schemas in one column, decoded as reader; null stays null. unknown: what becomes of a message
+    of none of the schemas, and of bytes that are no message: an error, null or drop.
 
-    One pass: every schema's plan gets the messages with its header, and a row takes what its own plan made of it.
+    One Arrow function: each row goes to the plan of its own header.
     """
-    known = list(schemas.by_fingerprint.values()) if isinstance(schemas, Registry) else [as_schema(s) for s in schemas]
-    distinct = list({header(s): s for s in known}.values())
-    value = F.coalesce(*(decode_soe(column, s, reader, "permissive_other") for s in distinct))
-    return df.where(reduce(lambda a, b: a | b, (is_soe(column, s) for s in distinct))).withColumn(into, value)
+    if unknown not in ("error", "null", "drop"):
+        raise ValueError(f"unknown must be error, null or drop, not {unknown!r}")
+    known, reader = list(schemas.by_fingerprint.values()) if isinstance(schemas, Registry) else [as_schema(s) for s in schemas], as_schema(reader)
+    plans = {header(s): plan(s, reader) for s in known}
+    kind = next(iter(plans.values())).type
+
+    @F.arrow_udf(kind)
+    def run(heads: pa.Array, payloads: pa.Array) -> pa.Array:
+        left = heads.is_valid().to_numpy(zero_copy_only=False).copy()
+        parts, of = [], []
+        for head, steps in plans.items():
+            own = np.flatnonzero(pc.fill_null(pc.equal(heads, head), False).to_numpy(zero_copy_only=False))
+            if len(own):
+                parts.append(decode_column(steps, payloads.take(pa.array(own))))
+                of.append(own)
+                left[own] = False
+        if unknown == "error" and left.any():
+            raise DataError("", f"row {int(left.argmax())} of a batch is a message of none of the schemas")
+        rest = np.setdiff1d(np.arange(len(heads)), np.concatenate(of) if of else np.empty(0, np.int64))
+        parts.append(pa.nulls(len(rest), parts[0].type if parts else arrow_type(kind)))
+        order = np.argsort(np.concatenate((*of, rest)).astype(np.int64), kind="stable")
+        return pa.concat_arrays(parts).take(pa.array(order))
+
+    if unknown == "drop":
+        df = df.where(reduce(lambda a, b: a | b, (is_soe(column, s) for s in known)))
+    return df.withColumn(into, run(F.substring(F.col(column), 1, 10), F.substring(F.col(column), 11, 2147483647)))

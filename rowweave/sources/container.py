@@ -181,6 +181,33 @@ def walk(file: BinaryIO, start: int, max_block: int = MAX_BLOCK_BYTES, sync: byt
         yield at, count, size
 
 
+def first_block(file: BinaryIO, start: int, end: int, header: Header, chunk: int = 1 << 16) -> int:
+    """Where the first block begins from start on: after the header, or after the next sync marker; end if none begins before it."""
+    if start <= header.size:
+        return min(header.size, end)
+    at = start - 16  # a block that begins at start has its marker before it
+    file.seek(at)
+    data = b""
+    while at - len(data) < end:
+        more = file.read(chunk)
+        if not more:
+            return end
+        data, at = data[-15:] + more, at + len(more)
+        if (found := data.find(header.sync)) >= 0:
+            return min(at - len(data) + found + 16, end)
+    return end
+
+
+def blocks_from(file: BinaryIO, start: int, end: int, header: Header, max_block: int = MAX_BLOCK_BYTES, codecs: dict | None = None) -> Iterator[tuple[int, bytes]]:
+    """Rows and unpacked data of the blocks that begin from start on, before end."""
+    file.seek(0, os.SEEK_END)
+    end = min(end, file.tell())
+    at = first_block(file, start, end, header)
+    while at < end:
+        yield read_block(file, at, header, max_block, codecs)
+        at = file.tell()
+
+
 def read_block(file: BinaryIO, at: int, header: Header, max_block: int = MAX_BLOCK_BYTES, codecs: dict | None = None) -> tuple[int, bytes]:
     """Rows and unpacked data of the block at an offset."""
     file.seek(at)

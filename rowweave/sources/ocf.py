@@ -1,18 +1,20 @@
 """Container files as a Python data source: spark.read.format("ocf"), spark.readStream, df.write.format("ocf").
 
-Reading splits files by groups of blocks; a task unpacks some hundred blocks and decodes the next row of all of them at once.
-Options of the source: readerSchema (JSON), columns (comma-separated), rawLogical, maxDepth, maxBlockBytes, splitBytes.
+Reading splits files by ranges of bytes, without opening them; a task looks for the first sync marker of its range, unpacks some hundred blocks and decodes the next row of all of them at once.
+Options of the source: readerSchema (JSON), columns (comma-separated), rawLogical, maxDepth, maxBlockBytes, splitBytes, and of streams maxFileAge (seconds).
 Options of the sink: avroSchema, schemaMode (full or canonical), codec, blockBytes, blockCount, syncMarker (hex), meta.<key>,
 preEncoded (one binary column of encoded rows).
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import islice
 from typing import Any
 
 import numpy as np
@@ -58,9 +60,12 @@ def files_below(path: str) -> list[pafs.FileInfo]:
 
 
 @dataclass
-class Blocks(InputPartition):
+class Range(InputPartition):
+    """The blocks of a file that begin at these bytes: from start, up to end (not included)."""
+
     path: str
-    offsets: tuple[int, ...]
+    start: int
+    end: int
 
 
 def _schemas(options: dict, path: str) -> tuple[Schema, Schema | None]:
@@ -126,23 +131,11 @@ class _Scan:
         self.max_block = int(o.get("maxblockbytes", container.MAX_BLOCK_BYTES))
         self.split = int(o.get("splitbytes", SPLIT_BYTES))
 
-    def splits(self, path: str) -> list[Blocks]:
-        fs, _ = filesystem(self.o["path"])
-        out = []
-        with fs.open_input_file(path) as f:
-            header = container.read_header(f)
-            now, size = [], 0
-            for at, _, packed in container.walk(f, header.size, self.max_block, header.sync):
-                now.append(at)
-                size += packed
-                if size >= self.split:
-                    out.append(Blocks(path, tuple(now)))
-                    now, size = [], 0
-            if now:
-                out.append(Blocks(path, tuple(now)))
-        return out
-
-    def rows(self, part: Blocks) -> Iterator[pa.RecordBatch]:
+    def splits(self, file: pafs.FileInfo) -> list[Range]:
+        """Ranges of bytes; nothing is read to make them."""
+        return [Range(file.path, at, min(at + self.split, file.size)) for at in range(0, file.size, self.split)]
+
+    def rows(self, part: Range) -> Iterator[pa.RecordBatch]:
         fs, _ = filesystem(self.o["path"])
         with fs.open_input_file(part.path) as f:
             header = container.read_header(f)
@@ -153,8 +146,8 @@ class _Scan:
                 if [x.name for x in root.fields] != list(self.names):
                     reader = pruned(Schema(root, wanted.named, ""), list(self.names))
             steps = plan(header.schema, reader, int(self.o.get("maxdepth", 0)), _raw(self.o))
-            for i in range(0, len(part.offsets), TOGETHER):
-                blocks = [container.read_block(f, at, header, self.max_block, self.codecs) for at in part.offsets[i : i + TOGETHER]]
+            found = container.blocks_from(f, part.start, part.end, header, self.max_block, self.codecs)
+            while blocks := list(islice(found, TOGETHER)):
                 values = decode_blocks(header.schema, steps, blocks)
                 if isinstance(steps.type, T.StructType) and wanted.of(wanted.root).kind == "record":
                     yield pa.RecordBatch.from_arrays([values.field(k) for k in range(values.type.num_fields)], self.names)
@@ -265,35 +258,42 @@ class OcfReader(DataSourceReader):
         self.scan = _Scan(schema, o, codecs)
 
     def partitions(self) -> list[InputPartition]:
-        found = [s for f in files_below(self.scan.o["path"]) for s in self.scan.splits(f.path)]
-        return found or [Blocks("", ())]
+        found = [s for f in files_below(self.scan.o["path"]) for s in self.scan.splits(f)]
+        return found or [Range("", 0, 0)]
 
-    def read(self, partition: Blocks) -> Iterator[pa.RecordBatch]:
-        if partition.offsets:
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        if partition.end:
             yield from self.scan.rows(partition)
 
 
 class OcfStreamReader(DataSourceStreamReader):
-    """New files of a folder, in the order of the time when they were written. A file must come whole (as by renaming)."""
+    """New files of a folder. A file must come whole (as by renaming), and may be MAX_AGE seconds (option maxFileAge) older than
+    the newest one that has been read when it comes: so long offsets keep the names of files."""
+
+    MAX_AGE = 24 * 3600
 
     def __init__(self, schema: T.StructType, o: dict, codecs: dict):
         self.scan = _Scan(schema, o, codecs)
+        self.max_age = int(float(o.get("maxfileage", self.MAX_AGE)) * 1e9)
 
     def initialOffset(self) -> dict:
-        return {"time": 0, "path": ""}
+        return {"before": -1, "seen": []}
 
-    def _keys(self) -> list[tuple[int, str]]:
-        return sorted((f.mtime_ns or 0, f.path) for f in files_below(self.scan.o["path"]))
+    @staticmethod
+    def _mark(f: pafs.FileInfo) -> str:
+        return hashlib.blake2b(f.path.encode(), digest_size=8).hexdigest()
 
     def latestOffset(self) -> dict:
-        time, path = max(self._keys(), default=(0, ""))
-        return {"time": time, "path": path}
+        files = files_below(self.scan.o["path"])
+        before = max((f.mtime_ns or 0 for f in files), default=-1) - self.max_age
+        return {"before": before, "seen": sorted(self._mark(f) for f in files if (f.mtime_ns or 0) > before)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        low, high = (start["time"], start["path"]), (end["time"], end["path"])
-        return [s for key in self._keys() if low < key <= high for s in self.scan.splits(key[1])]
+        first, last = set(start["seen"]), set(end["seen"])
+        within = lambda f, offset, marks: (f.mtime_ns or 0) <= offset["before"] or self._mark(f) in marks
+        return [s for f in files_below(self.scan.o["path"]) if within(f, end, last) and not within(f, start, first) for s in self.scan.splits(f)]
 
-    def read(self, partition: Blocks) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         yield from self.scan.rows(partition)
 
     def commit(self, end: dict) -> None:

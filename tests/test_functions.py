@@ -118,7 +118,7 @@ def test_messages(spark):
     registry = Registry()
     df = spark.range(4).select(F.when(F.col("id") < 2, encode_soe(F.struct(F.col("id").cast("int").alias("a")), v1)).when(F.col("id") < 3, F.unhex(F.lit("00"))).otherwise(F.lit(None)).alias("m"))
     registry.parse(v1)
-    assert sorted((r.value.a, r.value.b) for r in read_versions(df, "m", registry, v2).collect()) == [(0, "none"), (1, "none")]
+    assert sorted((r.value.a, r.value.b) for r in read_versions(df, "m", registry, v2, unknown="drop").collect()) == [(0, "none"), (1, "none")]
     assert [r[0] for r in df.select(is_soe("m")).collect()] == [True, True, False, None]
     assert bytes(df.select(soe_fingerprint("m")).first()[0]) == parse(v1).fingerprint()[::-1]
     assert df.select(decode_soe("m", v1, mode="permissive").alias("v")).where("v is null").count() == 2
@@ -272,6 +272,67 @@ def test_streams(spark, tmp_path, sf):
     assert read_ocf(spark, sink).exceptAll(df).count() == 0 and read_ocf(spark, sink).count() == df.count()
 
 
+@pytest.mark.parametrize("split", [1, 7, 100, 3000, 1 << 25])
+def test_any_split_finds_each_block_once(spark, tmp_path, split):
+    from rowweave.sources import container
+    from rowweave.sources.ocf import files_below
+
+    df = spark.range(3000).select("id", F.md5(F.col("id").cast("string")).alias("m")).coalesce(1)
+    write_ocf(df, str(tmp_path / "w"), blockBytes=1500)
+    (file,) = files_below(str(tmp_path / "w"))
+    rows, found = 0, []
+    with open(file.path, "rb") as f:
+        header = container.read_header(f)
+        whole = [(at, n) for at, n, _ in container.walk(f, header.size, sync=header.sync)]
+        ends = list(range(0, file.size, split))[:: 1 if split > 50 else 997]  # of very small splits some
+        for start in ends:
+            for n, _ in container.blocks_from(f, start, start + split, header):
+                rows += n
+                found.append(start)
+    if split > 50:
+        assert rows == 3000 and len(found) == len(whole) > 50
+    else:
+        assert found == [s for s in ends for at, _ in whole if s <= at < s + split]
+
+
+def test_stream_reads_files_that_come_late(spark, tmp_path):
+    """A file that was written before the last one that was read, and moved to its place after it."""
+    import os
+    import shutil
+    import time
+
+    source, late, sink, marks = (str(tmp_path / x) for x in ("a", "late", "b", "c"))
+    write_ocf(spark.range(5).coalesce(1), late)
+    write_ocf(spark.range(5, 10).coalesce(1), source)
+    (name,) = [n for n in os.listdir(late) if not n.startswith((".", "_"))]
+    old = time.time() - 3600
+    os.utime(f"{late}/{name}", (old, old))
+    run = lambda: write_stream(read_stream(spark, source), sink, marks, available_now=True).awaitTermination()
+    run()
+    shutil.move(f"{late}/{name}", f"{source}/moved-{name}")
+    run()
+    run()
+    assert sorted(r.id for r in read_ocf(spark, sink).collect()) == list(range(10))
+
+
+def test_messages_of_unknown_schemas(spark):
+    v1, v2, other = rec(("a", "long")), rec(("a", "long"), ("b", "string", {"default": "none"})), rec(("z", "double"))
+    df = spark.range(4).select("id", F.when(F.col("id") == 0, encode_soe(F.struct(F.col("id").alias("a")), v1)).when(F.col("id") == 1, encode_soe(F.struct(F.lit(0.5).alias("z")), other)).when(F.col("id") == 2, F.lit(b"short")).alias("m"))
+    with pytest.raises(Exception, match="none of the schemas"):
+        read_versions(df, "m", [v1, v2], v2).collect()
+    assert [(r.id, r.value and r.value.b) for r in read_versions(df, "m", [v1, v2], v2, unknown="null").orderBy("id").collect()] == [(0, "none"), (1, None), (2, None), (3, None)]
+    assert [(r.id, r.value.b) for r in read_versions(df, "m", [v1, v2], v2, unknown="drop").collect()] == [(0, "none")]
+
+
+def test_zeros_are_omitted_in_records_within_records(spark):
+    inner = {"type": "record", "name": "In", "fields": [{"name": "n", "type": ["null", "long"], "omitzero": True}, {"name": "k", "type": ["null", "long"]}]}
+    schema = rec(("a", inner), ("b", ["null", "In"]), ("c", {"type": "array", "items": "In"}))
+    value = {"a": {"n": 0, "k": 0}, "b": {"n": 0, "k": 1}, "c": [{"n": 0, "k": 2}, {"n": 3, "k": 0}]}
+    df = spark.createDataFrame([(value,), ({"a": {"n": 5, "k": 1}, "b": None, "c": []},)], "v struct<a struct<n long, k long>, b struct<n long, k long>, c array<struct<n long, k long>>>")
+    out = [r.v.asDict(True) for r in df.select(decode_avro(encode_avro("v", schema), schema).alias("v")).collect()]
+    assert out[0] == {"a": {"n": None, "k": 0}, "b": {"n": None, "k": 1}, "c": [{"n": None, "k": 2}, {"n": 3, "k": 0}]} and out[1]["b"] is None and out[1]["a"]["n"] == 5
+
+
 def test_message_stream(spark, tmp_path, sf):
     v1, v2 = rec(("event_id", "long")), rec(("event_id", "long"), ("kind", "string", {"default": "none"}))
     spark.read.parquet(f"{sf}/events.parquet").select(encode_soe(F.struct("event_id"), v1).alias("m")).write.parquet(str(tmp_path / "m"))
