@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrays, common
@@ -20,6 +20,8 @@ BITS = 16
 ORDERS = (1, 2, 3)
 #: Labels a model may tell apart: the broadcast matrix is at most MAX_LANGS * 2**BITS * 4 bytes.
 MAX_LANGS = 128
+#: Bytes of text that are scored at once.
+BLOCK = 1 << 17
 #: Languages whose counts a task holds at once (1.5 MB each).
 HELD = 16
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -93,7 +95,7 @@ def train(docs: DataFrame, max_langs: int = MAX_LANGS) -> tuple[list[str], np.nd
                 rows = np.flatnonzero(langs == lang)
                 texts[lang] = texts.get(lang, 0) + len(rows)
                 own = counts.setdefault(lang, np.zeros(width, np.int64))
-                for _, _, data, offsets in arrays.blocks(batch.column(0).take(pa.array(rows))):
+                for _, _, data, offsets in arrays.blocks(batch.column(0).take(pa.array(rows)), BLOCK):
                     for k, h in enumerate(grams(data, offsets)[0]):
                         own[k << BITS : (k + 1) << BITS] += np.bincount(h, minlength=1 << BITS)
         yield from out()
@@ -117,36 +119,53 @@ def train(docs: DataFrame, max_langs: int = MAX_LANGS) -> tuple[list[str], np.nd
     return langs, np.log(np.maximum(prior, 1) / max(prior.sum(), 1)), logs
 
 
+def _scored(texts: pa.Array, model: tuple[list[str], np.ndarray, np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    """The most likely language of each text, and its probability."""
+    langs, prior, logs = model
+    best, prob = [], []
+    for first, end, data, offsets in arrays.blocks(texts, BLOCK):
+        if not langs:
+            best += ["und"] * (end - first)
+            prob += [0.0] * (end - first)
+            continue
+        found, at, any_letter = grams(data, offsets)
+        total = np.empty((len(langs), end - first))
+        for i in range(len(langs)):
+            total[i] = prior[i]
+            for k, h in enumerate(found):
+                total[i] += arrays.summed(logs[i, k << BITS : (k + 1) << BITS][h].astype(np.float64), at)
+        top = total.argmax(0)
+        p = 1 / np.exp(total - total.max(0)).sum(0)
+        best += [langs[t] if ok else "und" for t, ok in zip(top, any_letter, strict=True)]
+        prob += np.where(any_letter, p, 0.0).tolist()
+    return pa.array(best, pa.string()), pa.array(prob, pa.float64())
+
+
+def language(spark: SparkSession, text: Column, model: tuple[list[str], np.ndarray, np.ndarray]) -> Column:
+    """lang_pred and score of a column of texts, as a struct: other columns stay where they are."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("lang_pred string, score double")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays(list(_scored(texts, shared.value)), ["lang_pred", "score"])
+
+    return run(text)
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], *keep: str) -> DataFrame:
     """keep, lang_pred (und for null and for texts without a letter) and score (its probability; 0 for und). Of languages that
     are equally likely the first by code point is taken."""
     spark = docs.sparkSession
-    langs, shared = model[0], spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model)
     docs = common.pick(docs, *keep, "text") if "text" not in keep else common.pick(docs, *keep)
     text_at = docs.columns.index("text")
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, prior, logs = shared.value
         for batch in batches:
-            best, prob = [], []
-            for first, end, data, offsets in arrays.blocks(batch.column(text_at)):
-                found, at, any_letter = grams(data, offsets)
-                total = np.empty((len(langs), end - first))
-                for i in range(len(langs)):
-                    total[i] = prior[i]
-                    for k, h in enumerate(found):
-                        total[i] += arrays.summed(logs[i, k << BITS : (k + 1) << BITS][h].astype(np.float64), at)
-                if not langs:
-                    best += ["und"] * (end - first)
-                    prob += [0.0] * (end - first)
-                    continue
-                top = total.argmax(0)
-                p = 1 / np.exp(total - total.max(0)).sum(0)
-                best += [langs[t] if ok else "und" for t, ok in zip(top, any_letter, strict=True)]
-                prob += np.where(any_letter, p, 0.0).tolist()
+            best, prob = _scored(batch.column(text_at), shared.value)
             out = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(best, pa.string()), pa.array(prob, pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*out, best, prob], [*keep, "lang_pred", "score"])
 
     return docs.mapInArrow(score, schema)
 
@@ -164,5 +183,5 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of which no language is likely (under a half), go."""
     rows = common.plain(docs, "text", "lang")
-    out = predict(rows, train(rows), *rows.columns)
-    return out.where("lang_pred <> 'und' and score >= 0.5").select(*rows.columns).toDF(*docs.columns)
+    out = rows.withColumn("_found", language(docs.sparkSession, F.col("text"), train(rows)))
+    return out.where("_found.lang_pred <> 'und' and _found.score >= 0.5").select(*rows.columns).toDF(*docs.columns)
