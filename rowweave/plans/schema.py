@@ -15,7 +15,16 @@ from ..errors import SchemaError
 PRIMITIVES = ("null", "boolean", "int", "long", "float", "double", "bytes", "string")
 NAMED = ("record", "enum", "fixed")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*\Z")
-_MISSING = object()
+
+
+class _Missing:
+    """That a field has no default; the same object after it has travelled to another process."""
+
+    def __reduce__(self) -> str:
+        return "_MISSING"
+
+
+_MISSING = _Missing()
 #: Logical types by the type below them.
 _LOGICAL_BASE = {
     "date": "int",

@@ -2,6 +2,7 @@ import dataclasses
 import datetime
 import decimal
 import json
+import pickle
 import uuid
 
 import pytest
@@ -86,17 +87,22 @@ def test_round_trip_of_the_whole_schema():
 
 def test_registry():
     r = Registry()
-    d = '{"type":"record","name":"D","fields":[{"name":"x","type":"int"}]}'
-    assert r.parse(d) is r.parse(json.dumps(json.loads(d), indent=2))
-    for n in "BC":
-        r.parse('{"type":"record","name":"%s","fields":[{"name":"d","type":"D"}]}' % n)
-    a = r.parse('{"type":"record","name":"A","fields":[{"name":"b","type":"B"},{"name":"c","type":"C"}]}')
-    assert sorted(a.named) == ["A", "B", "C", "D"]
-    with pytest.raises(SchemaError):
-        r.parse('{"type":"record","name":"E","fields":[{"name":"x","type":{"type":"fixed","name":"New","size":1}},{"name":"y","type":"Missing"}]}')
-    assert "New" not in r.named
-    with pytest.raises(SchemaError):
-        r.parse('{"type":"record","name":"D","fields":[]}')
+    money = {"type": "record", "name": "shop.Money", "fields": [{"name": "cents", "type": "long"}]}
+    first = r.parse(json.dumps(money))
+    assert r.parse(json.dumps(money, indent=4)) is first and r.by_fingerprint[first.fingerprint()] is first
+    r.parse('{"type":"map","values":"shop.Money"}')  # a schema without a name of its own
+    basket = r.parse('{"type":"record","name":"Basket","namespace":"shop","fields":[{"name":"total","type":"Money"},{"name":"parts","type":{"type":"array","items":"Money"}}]}')
+    assert sorted(basket.named) == ["shop.Basket", "shop.Money"] and basket.root.fields[0].type.name == "shop.Money"
+    known = set(r.named)
+    for bad in ('{"type":"enum","name":"shop.Basket","symbols":["A"]}', '["null",{"type":"enum","name":"Fresh","symbols":["A"]},"Nowhere"]'):
+        with pytest.raises(SchemaError):
+            r.parse(bad)
+        assert set(r.named) == known
+
+
+def test_no_default_stays_no_default_in_another_process():
+    field = pickle.loads(pickle.dumps(parse(rec(("a", "int"), ("b", "int", {"default": 1}))))).root.fields
+    assert [f.has_default for f in field] == [False, True]
 
 
 def test_spark_types():
