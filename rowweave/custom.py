@@ -37,6 +37,12 @@ class CustomType:
         return (not self.logical or node.logical == self.logical) and (not self.kind or node.kind == self.kind) and (self.when is None or self.when(node))
 
 
+def as_text(logical: str, to_text: Callable[[Column], Column], from_text: Callable[[Column], Column]) -> CustomType:
+    """Values that have a text form, kept as strings: to_text when they are written, from_text when they are read. The logical
+    type is one that the schema keeps for them (keep_logical)."""
+    return CustomType(logical, "string", lambda c, n: to_text(c), lambda c, n: from_text(c))
+
+
 def raw_logical(custom: tuple[CustomType, ...]) -> frozenset[str]:
     """Logical types whose plain values the conversions want."""
     return frozenset(c.logical for c in custom if c.logical)

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import dataclasses
 import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .custom import CustomType
+from .custom import CustomType, as_text
+from .errors import ContainerError, SchemaError
 from .functions import avro_to_json, decode_avro, decode_json, decode_many, decode_soe, encode_avro, encode_json, encode_soe, evolve, is_soe, json_to_avro, read_versions, soe_fingerprint, soe_payload, try_decode_avro
 from .functions import logical as L
-from .functions.codec import rabin64
-from .plans.mapping import schema_from_struct
+from .functions.codec import decode_errors, rabin64
+from .functions.sql import register_schema
+from .plans.mapping import schema_for, schema_from_struct
 from .plans.resolve import compatibility_table
-from .plans.schema import PRIMITIVES, parse
-from .sources import metadata, read_ocf, write_ocf
+from .plans.schema import PRIMITIVES, Registry, build, parse
+from .sources import append_file, metadata, read_ocf, write_ocf
+from .sources.container import register_codec
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -46,11 +50,16 @@ def trip(df: DataFrame, schema: str, reader: str | None = None, columns: list[st
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset (tests)."""
+    """A new folder in spark.checkpoint.dir, which driver and executors share; where it is unset, a temporary one on one machine,
+    an error on a cluster."""
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ContainerError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/rowweave/{name}-{uuid.uuid4().hex}"
 
 
@@ -686,3 +695,315 @@ def infer_schema_struct(spark, d):
     return spark.createDataFrame([(n, schema_from_struct(table(spark, d, n).schema, n).canonical()) for n in ("region", "labels")], "name string, canonical string")
 
 
+# what is refused, filled in and passed over
+
+
+def _sql_values(rows: list[tuple], *names: str) -> str:
+    """SQL of these rows of texts and booleans."""
+    show = lambda v: "CAST(NULL AS VARCHAR)" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) t({', '.join(names)})"
+
+
+def _parses(schema) -> bool:
+    try:
+        parse(schema)
+        return True
+    except SchemaError:
+        return False
+
+
+@query("SELECT o_orderkey, o_orderstatus AS status, 7 AS level, 'open' AS note, CAST(NULL AS DOUBLE) AS rate FROM orders")
+def encode_missing_defaults(spark, d):
+    """Fields that the rows lack are written with the default of the schema."""
+    df = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    schema = record("O", ("o_orderkey", "long"), ("status", "string"), ("level", "int", {"default": 7}), ("note", "string", {"default": "open"}), ("rate", NULLABLE("double"), {"default": None}))
+    return trip(df, schema)
+
+
+@query("SELECT event_id, CAST(user_id AS INTEGER) AS a, CAST(event_id AS DOUBLE) AS b, event_type AS c, CAST(user_id AS BIGINT) AS d FROM events")
+def encode_coercions(spark, d):
+    """Numbers of another kind that hold without loss: whole doubles as int, longs as double, decimals as long, bytes as text."""
+    df = table(spark, d, "events").select("event_id", F.col("user_id").cast("double").alias("a"), F.col("event_id").alias("b"), F.encode("event_type", "UTF-8").alias("c"), F.col("user_id").cast("decimal(20,0)").alias("d"))
+    return trip(df, record("C", ("event_id", "long"), ("a", "int"), ("b", "double"), ("c", "string"), ("d", "long")))
+
+
+@query("SELECT event_id, event_id % 2 = 0 AS fits, CASE WHEN event_id % 2 = 0 THEN CAST(event_id AS INTEGER) END AS n FROM events")
+def decode_narrowing(spark, d):
+    """Longs as ints: numbers beyond the smaller type are refused, not cut."""
+    df = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, F.col("event_id")).otherwise(F.col("event_id") + (1 << 40)).alias("n"))
+    raw = df.select("event_id", encode_avro("n", '"long"').alias("b"))
+    return raw.select("event_id", try_decode_avro("b", '"int"').alias("n")).select("event_id", F.col("n").isNotNull().alias("fits"), "n")
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'inner.x' WHEN 1 THEN 'inner.y' END AS path FROM events")
+def errors_with_path(spark, d):
+    """Where bytes that end too early fail."""
+    inner = {"type": "record", "name": "In", "fields": [{"name": "x", "type": "boolean"}, {"name": "y", "type": "long"}]}
+    schema = record("E", ("inner", inner))
+    df = table(spark, d, "events").select("event_id", encode_avro(F.struct(F.struct(F.lit(True).alias("x"), F.col("user_id").alias("y")).alias("inner")), schema).alias("b"))
+    k = F.col("event_id") % 3
+    df = df.withColumn("b", F.when(k == 0, F.substring("b", 1, 0)).when(k == 1, F.substring("b", 1, 1)).otherwise(F.col("b")))
+    return df.select("event_id", F.split(decode_errors("b", schema), ": ")[0].alias("path"))
+
+
+@query("SELECT event_id, epoch_us(ts) AS us, epoch_us(CAST(CAST(ts AS DATE) AS TIMESTAMP)) AS day, true AS refused FROM events")
+def time_text(spark, d):
+    """Timestamps from RFC 3339 text with an offset, from dates alone, and text that is neither."""
+    text, day = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), F.date_format("ts", "yyyy-MM-dd")
+    df = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts")).select("event_id", L.text_to_timestamp(text).alias("us"), L.text_to_timestamp(day).alias("day"), L.text_to_timestamp(F.concat(F.lit("x"), day)).alias("no"))
+    return df.select("event_id", L.timestamp_to_micros("us").alias("us"), L.timestamp_to_micros("day").alias("day"), F.col("no").isNull().alias("refused"))
+
+
+@query("SELECT c_custkey, CAST(round(c_acctbal * 100) AS BIGINT) AS v, true AS none FROM customer")
+def decimal_of_bytes(spark, d):
+    """Two's complement bytes of any length, and none, as decimals."""
+    v = (F.round(F.col("c_acctbal") * 100) / 100).cast("decimal(18,2)")
+    df = table(spark, d, "customer").select("c_custkey", L.decimal_to_bytes(v, 2).alias("b"))
+    return df.select("c_custkey", (L.decimal_from_bytes("b", 2) * 100).cast("long").alias("v"), (L.decimal_from_bytes(F.substring("b", 1, 0), 2) == 0).alias("none"))
+
+
+#: (logical type, attributes of its base, whether it may stand there)
+_BASES = [
+    ("date", {"type": "int"}, True),
+    ("date", {"type": "long"}, False),
+    ("time-millis", {"type": "int"}, True),
+    ("time-micros", {"type": "long"}, True),
+    ("time-micros", {"type": "int"}, False),
+    ("timestamp-millis", {"type": "long"}, True),
+    ("timestamp-nanos", {"type": "string"}, False),
+    ("local-timestamp-micros", {"type": "long"}, True),
+    ("uuid", {"type": "string"}, True),
+    ("uuid", {"type": "fixed", "name": "F", "size": 16}, True),
+    ("uuid", {"type": "fixed", "name": "F", "size": 12}, False),
+    ("duration", {"type": "fixed", "name": "F", "size": 12}, True),
+    ("duration", {"type": "bytes"}, False),
+    ("decimal", {"type": "bytes", "precision": 4, "scale": 2}, True),
+]
+
+
+@query(_sql_values([(name, json.dumps(base), ok) for name, base, ok in _BASES], "logical", "base", "ok"))
+def logical_bases(spark, d):
+    return spark.createDataFrame([(n, json.dumps(b), _parses(b | {"logicalType": n})) for n, b, _ in _BASES], "logical string, base string, ok boolean")
+
+
+# schemas: parsing, names, defaults, trees, registry
+
+_TREE = record(
+    "Order",
+    ("id", "long", {"doc": "key"}),
+    ("state", {"type": "enum", "name": "State", "symbols": ["OPEN", "SHUT"], "default": "OPEN"}, {"default": "SHUT"}),
+    ("lines", {"type": "array", "items": {"type": "record", "name": "Line", "namespace": "shop.parts", "fields": [{"name": "sku", "type": {"type": "fixed", "name": "Sku", "size": 8}}, {"name": "also", "type": ["null", "Sku"], "default": None}]}}),
+    ("tags", {"type": "map", "values": "string"}, {"default": {}}),
+)
+_TREE_ROWS = [
+    ("id", "long", "long", None),
+    ("state", "enum", "shop.State", '"SHUT"'),
+    ("lines", "array", "array", None),
+    ("lines.sku", "fixed", "shop.parts.Sku", None),
+    ("lines.also", "union", "union", "null"),
+    ("tags", "map", "map", "{}"),
+]
+
+
+def _in_shop() -> dict:
+    return json.loads(_TREE) | {"namespace": "shop"}
+
+
+@query(_sql_values(_TREE_ROWS, "path", "kind", "name", "preset"))
+def schema_fields(spark, d):
+    """The fields of a schema with full names and defaults, from its tree."""
+    schema, found = parse(_in_shop()), []
+
+    def visit(node, path):
+        node = schema.of(node)
+        for f in node.fields:
+            at, of = [*path, f.name], schema.of(f.type)
+            found.append((".".join(at), of.kind, of.label(), json.dumps(f.default) if f.has_default else None))
+            visit(of.items or of, at)
+
+    visit(schema.root, [])
+    return spark.createDataFrame(found, "path string, kind string, name string, preset string")
+
+
+#: Schemas and whether they are ones.
+_TEXTS = [
+    ("plain", "long", True),
+    ("object", {"type": "long"}, True),
+    ("unknown type", "decimal64", False),
+    ("union in a union", ["null", ["int"]], False),
+    ("same branch twice", ["string", "string"], False),
+    ("two enums of different names", [{"type": "enum", "name": "A", "symbols": ["X"]}, {"type": "enum", "name": "B", "symbols": ["X"]}], True),
+    ("symbol twice", {"type": "enum", "name": "A", "symbols": ["X", "X"]}, False),
+    ("enum default that is no symbol", {"type": "enum", "name": "A", "symbols": ["X"], "default": "Y"}, False),
+    ("map without values", {"type": "map"}, False),
+    ("fixed without size", {"type": "fixed", "name": "A"}, False),
+    ("field twice", json.loads(record("A", ("x", "int"), ("x", "long"))), False),
+    ("default of another type", json.loads(record("A", ("x", "int", {"default": "1"}))), False),
+    ("default of a later branch", json.loads(record("A", ("x", ["null", "int"], {"default": 1}))), True),
+    ("record within itself", json.loads(record("A", ("next", ["null", "A"]))), True),
+    ("name that begins with a digit", json.loads(record("1A", ("x", "int"))), False),
+]
+
+
+@query(_sql_values([(k, ok) for k, _, ok in _TEXTS], "k", "ok"))
+def schema_rules(spark, d):
+    return spark.createDataFrame([(k, _parses(json.dumps(v))) for k, v, _ in _TEXTS], "k string, ok boolean")
+
+
+_TREE_CANON = (
+    '{"name":"shop.Order","type":"record","fields":[{"name":"id","type":"long"},{"name":"state","type":{"name":"shop.State","type":"enum","symbols":["OPEN","SHUT"]}},'
+    '{"name":"lines","type":{"type":"array","items":{"name":"shop.parts.Line","type":"record","fields":[{"name":"sku","type":{"name":"shop.parts.Sku","type":"fixed","size":8}},'
+    '{"name":"also","type":["null","shop.parts.Sku"]}]}}},{"name":"tags","type":{"type":"map","values":"string"}}]}'
+)
+
+
+@query(_sql_values([("parsed", _TREE_CANON), ("built", _TREE_CANON), ("again", _TREE_CANON)], "k", "canonical"))
+def schema_built(spark, d):
+    """A schema from its text, from its tree, and from the text that it is written as."""
+    schema = parse(_in_shop())
+    return spark.createDataFrame([("parsed", schema.canonical()), ("built", build(schema.root).canonical()), ("again", parse(schema.to_json()).canonical())], "k string, canonical string")
+
+
+@query(_sql_values([("known", "geo.Place,geo.Point", True), ("unknown", "", False), ("defined anew", "", False), ("same again", "geo.Point", True)], "k", "names", "ok"))
+def registry_names(spark, d):
+    """Schemas that refer to types of schemas before them."""
+    registry = Registry()
+    point = {"type": "record", "name": "geo.Point", "fields": [{"name": "x", "type": "double"}, {"name": "y", "type": "double"}]}
+    registry.parse(json.dumps(point))
+    tries = {
+        "known": {"type": "record", "name": "geo.Place", "fields": [{"name": "at", "type": "Point"}]},
+        "unknown": {"type": "record", "name": "geo.Road", "fields": [{"name": "along", "type": {"type": "array", "items": "Segment"}}]},
+        "defined anew": {"type": "record", "name": "geo.Point", "fields": []},
+        "same again": point,
+    }
+    found = []
+    for k, v in tries.items():
+        try:
+            found.append((k, ",".join(sorted(registry.parse(json.dumps(v, indent=1)).named)), True))
+        except SchemaError:
+            found.append((k, "", False))
+    return spark.createDataFrame(found, "k string, names string, ok boolean")
+
+
+@dataclasses.dataclass
+class _Stamp:
+    price: float
+    status: str = dataclasses.field(metadata={"avro": "name=o_orderstatus"})
+
+
+@dataclasses.dataclass
+class _Placed:
+    o_orderkey: int
+    stamp: _Stamp = dataclasses.field(metadata={"avro": "inline"})
+    hidden: int = dataclasses.field(metadata={"avro": "-"})
+    comment: str | None = None
+
+
+@query("SELECT o_orderkey, o_totalprice AS price, o_orderstatus, CAST(NULL AS VARCHAR) AS comment FROM orders")
+def schema_for_dataclass(spark, d):
+    """Rows by the schema of a dataclass: renamed, left out and inlined fields, and a default."""
+    df = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"), "o_orderstatus", F.lit(1).alias("hidden"))
+    return trip(df, schema_for(_Placed).to_json())
+
+
+# JSON that is read leniently
+
+
+@query("SELECT event_id, CAST(event_id AS INTEGER) AS n, CAST(user_id AS DOUBLE) AS x FROM events")
+def json_numbers(spark, d):
+    """Whole numbers with a fraction of zero or an exponent are ints; ints are doubles."""
+    j = F.concat(F.lit('{"n":'), "event_id", F.when(F.col("event_id") % 2 == 0, ".0").otherwise("e0"), F.lit(',"x":'), "user_id", F.lit("}"))
+    out = table(spark, d, "events").select("event_id", decode_json(j, record("N", ("n", "int"), ("x", "double"))).alias("v"))
+    return out.select("event_id", "v.n", "v.x")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN event_id END AS id, CASE WHEN event_id % 3 <> 0 THEN 'none' END AS note FROM events")
+def json_unknown_and_missing(spark, d):
+    """Unknown keys are passed over, missing ones take their default; without one the text is refused."""
+    j = F.concat(F.lit('{"more":{"a":[1,{"b":"}"}]},'), F.when(F.col("event_id") % 3 == 0, '"no":').otherwise('"id":'), "event_id", F.lit("}"))
+    schema = record("U", ("id", "long"), ("note", "string", {"default": "none"}))
+    return table(spark, d, "events").select("event_id", decode_json(j, schema, "permissive").alias("v")).select("event_id", "v.id", "v.note")
+
+
+# more of custom types, files and table functions
+
+
+@query("SELECT event_id, CAST(event_id AS DOUBLE) / 2 AS half, event_id * 10 AS ten FROM events")
+def custom_on_resolved(spark, d):
+    """Conversions of the reader's types after the evolution, and the first of several that doesn't pass."""
+    halved = CustomType("halved", "double", decode=lambda c, n: c / 2)
+    passing, ten, never = (CustomType("scaled", "long", decode=f) for f in (lambda c, n: None, lambda c, n: c * 10, lambda c, n: c * 99))
+    writer = record("E", ("event_id", "long"), ("h", "int"), ("t", "int"))
+    fields = [{"name": "event_id", "type": "long"}, {"name": "half", "aliases": ["h"], "type": {"type": "double", "logicalType": "halved"}}, {"name": "ten", "aliases": ["t"], "type": {"type": "long", "logicalType": "scaled"}}]
+    reader = parse({"type": "record", "name": "E", "fields": fields}, keep_logical={"halved", "scaled"})
+    n = F.col("event_id").cast("int")
+    raw = table(spark, d, "events").select(encode_avro(F.struct("event_id", n.alias("h"), n.alias("t")), writer).alias("b"))
+    return raw.select(decode_avro("b", writer, reader, custom=(halved, passing, ten, never)).alias("v")).select("v.*")
+
+
+@query("SELECT event_id, user_id % 256 AS a, event_id % 256 AS b, (user_id % 256) || '.' || (event_id % 256) AS text FROM events")
+def custom_text_form(spark, d):
+    """Values with a text form are strings in the bytes."""
+    pair = as_text("pair", lambda c: F.concat_ws(".", c["a"], c["b"]), lambda c: F.struct(F.split_part(c, F.lit("."), F.lit(1)).cast("long").alias("a"), F.split_part(c, F.lit("."), F.lit(2)).cast("long").alias("b")))
+    schema = parse(record("E", ("event_id", "long"), ("p", {"type": "string", "logicalType": "pair"})), keep_logical={"pair"})
+    value = F.struct((F.col("user_id") % 256).alias("a"), (F.col("event_id") % 256).alias("b")).alias("p")
+    raw = table(spark, d, "events").select(encode_avro(F.struct("event_id", value), schema, (pair,)).alias("b"))
+    out = raw.select(decode_avro("b", schema, custom=(pair,)).alias("v"), decode_avro("b", record("E", ("event_id", "long"), ("p", "string"))).alias("w"))
+    return out.select("v.event_id", "v.p.a", "v.p.b", F.col("w.p").alias("text"))
+
+
+@query("SELECT l_orderkey, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS s FROM lineitem GROUP BY l_orderkey")
+def sql_table_function(spark, d):
+    """All values in each row's bytes, as a table function of SQL."""
+    register_schema(spark, "query_line", '"int"')
+    df = table(spark, d, "lineitem").select("l_orderkey", encode_avro("l_linenumber", '"int"').alias("b"))
+    packed = df.groupBy("l_orderkey").agg(F.unhex(F.array_join(F.collect_list(F.hex("b")), "")).alias("b"))
+    out = spark.sql("SELECT l_orderkey, value FROM {t}, LATERAL rows_query_line(b)", t=packed)
+    return out.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("value").cast("long").alias("s"))
+
+
+@query("SELECT count(*) AS n, true AS within FROM orders")
+def ocf_block_limit(spark, d):
+    """Blocks of at most so many bytes, read with just that limit."""
+    path = scratch(spark, "ocf-limit")
+    write_ocf(table(spark, d, "orders"), path, blockBytes=4096)
+    of = metadata(spark, path).agg(F.bool_and(F.col("bytes") <= F.col("blocks") * 8192).alias("within"))
+    return read_ocf(spark, path, maxBlockBytes=8192).agg(F.count("o_orderkey").alias("n")).crossJoin(of)
+
+
+@query("SELECT o_orderkey, o_custkey * 3 AS thrice FROM orders")
+def ocf_custom_read(spark, d):
+    """A conversion that is attached to a property, applied to the columns of files."""
+    path = scratch(spark, "ocf-custom")
+    times = CustomType(kind="long", decode=lambda c, n: c * n.props["times"], when=lambda n: "times" in n.props)
+    df = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("thrice"))
+    write_ocf(df, path, schema=record("O", ("o_orderkey", "long"), ("thrice", {"type": "long", "times": 3})), codec="deflate")
+    return read_ocf(spark, path, custom=(times,))
+
+
+@query("SELECT r_regionkey AS k FROM region UNION ALL SELECT n_nationkey FROM nation")
+def ocf_append_file(spark, d):
+    """Rows added to a file that is there, with its schema, codec and marker."""
+    path, schema = scratch(spark, "ocf-file"), record("K", ("k", "long"))
+    write_ocf(table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("k")).coalesce(1), path, schema=schema, codec="snappy")
+    more = table(spark, d, "nation").select(encode_avro(F.struct(F.col("n_nationkey").cast("long").alias("k")), schema).alias("b"))
+    append_file(metadata(spark, path).first().path, [bytes(r.b) for r in more.collect()])
+    return read_ocf(spark, path)
+
+
+@query("""SELECT '{"name":"O","type":"record","fields":[{"name":"o_orderkey","type":"long"}]}' AS schema, count(*) AS n FROM orders""")
+def ocf_header_schema(spark, d):
+    """The canonical form in the header of the file, for rows of a schema with more to it."""
+    path = scratch(spark, "ocf-header")
+    write_ocf(table(spark, d, "orders").select("o_orderkey").coalesce(1), path, schema=record("O", ("o_orderkey", "long", {"doc": "key", "aliases": ["id"]})), schemaMode="canonical")
+    return metadata(spark, path).groupBy("schema").agg(F.sum("rows").alias("n"))
+
+
+@query("SELECT 'mirror' AS codec, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS s FROM orders")
+def ocf_custom_codec(spark, d):
+    """Blocks packed by a codec that is no built-in one."""
+    register_codec("mirror", lambda b: b[::-1], lambda b: b[::-1])
+    path = scratch(spark, "ocf-mirror")
+    write_ocf(table(spark, d, "orders").select("o_orderkey", "o_custkey"), path, codec="mirror")
+    name = metadata(spark, path).groupBy("codec").agg(F.sum("rows").alias("n"))
+    return name.crossJoin(read_ocf(spark, path).agg(F.sum("o_custkey").alias("s")))

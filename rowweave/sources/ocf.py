@@ -59,6 +59,14 @@ def files_below(path: str) -> list[pafs.FileInfo]:
     return sorted((f for f in found if f.type == pafs.FileType.File and not any(p.startswith(("_", ".")) for p in f.path[len(at) :].split("/"))), key=lambda f: f.path)
 
 
+def _files(options: dict) -> list[pafs.FileInfo]:
+    """The files that a scan reads: those in option fileList (JSON), else those below path."""
+    if options.get("filelist"):
+        fs, _ = filesystem(options["path"])
+        return fs.get_file_info(json.loads(options["filelist"]))
+    return files_below(options["path"])
+
+
 @dataclass
 class Range(InputPartition):
     """The blocks of a file that begin at these bytes: from start, up to end (not included)."""
@@ -68,12 +76,12 @@ class Range(InputPartition):
     end: int
 
 
-def _schemas(options: dict, path: str) -> tuple[Schema, Schema | None]:
+def _schemas(options: dict) -> tuple[Schema, Schema | None]:
     """Of the first file that has a header, and the reader's."""
-    fs, _ = filesystem(path)
-    files = files_below(path)
+    fs, _ = filesystem(options["path"])
+    files = _files(options)
     if not files:
-        raise ContainerError(f"no files in {path}")
+        raise ContainerError(f"no files in {options['path']}")
     with fs.open_input_file(files[0].path) as f:
         writer = container.read_header(f).schema
     reader = parse(options["readerschema"]) if options.get("readerschema") else None
@@ -103,7 +111,7 @@ class OcfDataSource(DataSource):
 
     def schema(self) -> T.StructType:
         o = self._options()
-        writer, reader = _schemas(o, o["path"])
+        writer, reader = _schemas(o)
         return spark_type(_record(reader or writer), None, int(o.get("maxdepth", 0)), _raw(o))
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
@@ -258,7 +266,7 @@ class OcfReader(DataSourceReader):
         self.scan = _Scan(schema, o, codecs)
 
     def partitions(self) -> list[InputPartition]:
-        found = [s for f in files_below(self.scan.o["path"]) for s in self.scan.splits(f)]
+        found = [s for f in _files(self.scan.o) for s in self.scan.splits(f)]
         return found or [Range("", 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
@@ -427,31 +435,31 @@ def read_ocf(spark: SparkSession, path: str, reader_schema: Schema | str | None
         raise ContainerError("either a reader schema or a function that chooses one")
     if custom:
         options["rawLogical"] = ",".join(sorted({c.logical for c in custom if c.logical}))
-    read = lambda p, schema: _loaded(spark, p, schema, columns, options, custom)
     if reader_schema_fn is None:
-        return read(path, reader_schema)
+        return _loaded(spark, path, reader_schema, columns, options, custom)
     fs, _ = filesystem(path)
-    parts = []
+    groups: dict[tuple[str, bool], list[str]] = {}
     for info in files_below(path):
         with fs.open_input_file(info.path) as f:
-            chosen = reader_schema_fn(container.read_header(f))
-        parts.append(read(info.path, chosen))
+            header = container.read_header(f)
+        chosen = reader_schema_fn(header)
+        text = chosen.to_json() if isinstance(chosen, Schema) else chosen
+        groups.setdefault((text or header.schema.text, text is not None), []).append(info.path)
+    parts = [_loaded(spark, path, text if chosen else None, columns, options | {"fileList": json.dumps(paths)}, custom) for (text, chosen), paths in groups.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def _loaded(spark: SparkSession, path: str, schema: Schema | str | None, columns: list[str] | None, options: dict, custom: tuple[CustomType, ...]) -> DataFrame:
-    reader = spark.read.format("ocf").options(**options)
     if schema is not None:
-        text = schema.to_json() if isinstance(schema, Schema) else schema
-        reader = reader.option("readerSchema", text)
+        options = options | {"readerSchema": schema.to_json() if isinstance(schema, Schema) else schema}
     if columns:
-        reader = reader.option("columns", ",".join(columns))
-    df = reader.load(path)
+        options = options | {"columns": ",".join(columns)}
+    df = spark.read.format("ocf").options(**options).load(path)
     if not custom:
         return df
     from pyspark.sql import functions as F
 
-    writer, found = _schemas({"readerschema": text if schema is not None else "", "columns": ",".join(columns or ())}, path)
+    writer, found = _schemas({k.lower(): v for k, v in options.items()} | {"path": path})
     return df.select(decoded(found or writer, F.struct("*"), custom).alias("_row")).select("_row.*")
 
 
