@@ -351,6 +351,8 @@ def scored(docs: DataFrame, train: DataFrame, *keep: str, hot: int = HOT_GRAMS)
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: its log10 probabilities by the byte contexts and by the tokens of the training fold. Null and empty
+    texts are one end each; a null id is in the training fold; repeated rows and rows of one text have the same scores."""
     docs = common.pick(common.table(spark, sf_dir, "documents"), "doc_id", "text")
     fold = common.bucket_of(F.col("doc_id"))
     out = scored(docs, docs.where(F.coalesce(fold != 1, F.lit(True))), "doc_id")
