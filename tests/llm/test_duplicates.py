@@ -214,6 +214,22 @@ def test_partial_holders_do_not_hide_a_passage(docs_of):
     check_passages(docs, rows)
 
 
+@pytest.mark.parametrize("period", [1, 2, 7])
+def test_partial_holders_of_text_that_repeats_itself(period, docs_of):
+    """Such text has one seed however long it is, and many documents may have less than 50 words of it."""
+    rng = random.Random(period)
+    word = lambda: f"v{rng.randrange(10**6)}"
+    docs, want = {}, set()
+    for _ in range(20):
+        cycle = [word() for _ in range(period)]
+        for n in (40, 44, 47, 49, 42, 60, 75):
+            d = len(docs)
+            docs[d] = " ".join([word() for _ in range(30)] + [cycle[i % period] for i in range(n)] + [word() for _ in range(30)])
+            want |= {d} if n >= 60 else set()
+    rows = chains.repeated(docs_of(*docs.items())).collect()
+    assert {r.doc_id for r in rows} == want
+
+
 @pytest.mark.parametrize("n, identity, least", [(60, 0.9, 0.95), (60, 0.85, 0.85), (100, 0.9, 0.98), (100, 0.8, 0.9)])
 def test_fuzzy_passages(n, identity, least):
     """The share of passages with changed words anywhere that the seeds find and the chains confirm."""
