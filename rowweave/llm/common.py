@@ -55,7 +55,7 @@ def shared_dir(spark: SparkSession) -> str:
     an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="rowweave-")
     if spark.sparkContext.getCheckpointDir() is None:
