@@ -981,7 +981,7 @@ def ocf_custom_read(spark, d):
     return read_ocf(spark, path, custom=(times,))
 
 
-@query("SELECT r_regionkey AS k FROM region UNION ALL SELECT n_nationkey FROM nation")
+@query("SELECT CAST(r_regionkey AS BIGINT) AS k FROM region UNION ALL SELECT CAST(n_nationkey AS BIGINT) FROM nation")
 def ocf_append_file(spark, d):
     """Rows added to a file that is there, with its schema, codec and marker."""
     path, schema = scratch(spark, "ocf-file"), record("K", ("k", "long"))
