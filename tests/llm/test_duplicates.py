@@ -230,6 +230,56 @@ def test_partial_holders_of_text_that_repeats_itself(period, docs_of):
     assert {r.doc_id for r in rows} == want
 
 
+def confirmed(docs):
+    """Pairs of docs with enough common seeds that the chains confirm, by comparing all."""
+    raw = {d: " ".join(words(t)).encode() for d, t in docs.items()}
+    hashed = {d: arrays.word_hashes(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for d, t in raw.items()}
+    seeds, by = {d: set(chains._seeds(h, np.array([0, len(h)]))[1].tolist()) for d, h in hashed.items()}, defaultdict(Counter)
+    where = defaultdict(list)
+    for d in docs:
+        for s in seeds[d]:
+            for e in where[s]:
+                by[e][d] += chains.MIN_SEEDS if s & 1 else 1
+            where[s].append(d)
+    return {(a, b) for a in by for b, n in by[a].items() if n >= chains.MIN_SEEDS and chains.passages(hashed[a], hashed[b])}
+
+
+@pytest.mark.parametrize("others", [8, 45])
+def test_no_pair_hides_behind_the_text_of_a_seed(others, docs_of):
+    """Two texts with a passage with changed words, among few or many that hold 12 to 30 words of it."""
+    rng = random.Random(others)
+    word = lambda: f"v{rng.randrange(10**6)}"
+    docs = {}
+    for _ in range(25):
+        shared = [word() for _ in range(60)]
+        for i in range(others + 2):
+            n = 60 if i < 2 else rng.randrange(12, 31)
+            at = rng.randrange(61 - n)
+            part = [word() if i == 1 and rng.random() < 0.12 else w for w in shared[at : at + n]]
+            docs[len(docs)] = " ".join([word() for _ in range(30)] + part + [word() for _ in range(30)])
+    want = confirmed(docs)
+    rows = chains.repeated(docs_of(*docs.items()).repartition(7)).collect()
+    assert len(want) > 15 and {tuple(sorted((r.doc_id, r.other_doc_id))) for r in rows} == want
+
+
+def test_exact_passages_in_crowds(docs_of):
+    """Many texts that hold 36 to 49 words of a passage of 50 words don't keep those that share the whole from one another, and
+    in a crowd that shares it each text is reported."""
+    rng = random.Random(13)
+    word = lambda: f"v{rng.randrange(10**6)}"
+    docs, want = {}, set()
+    for whole in (2, 2, 2, 2, 60):
+        shared = [word() for _ in range(51)]
+        for i in range(60 + whole):
+            n = rng.randrange(36, 50) if i < 60 else 51
+            at = rng.randrange(52 - n)
+            want |= {len(docs)} if n == 51 else set()
+            docs[len(docs)] = " ".join([word() for _ in range(20)] + shared[at : at + n] + [word() for _ in range(20)])
+    rows = chains.repeated(docs_of(*docs.items()).repartition(7)).collect()
+    check_passages(docs, rows)
+    assert {r.doc_id for r in rows} == want
+
+
 @pytest.mark.parametrize("n, identity, least", [(60, 0.9, 0.95), (60, 0.85, 0.85), (100, 0.9, 0.98), (100, 0.8, 0.9)])
 def test_fuzzy_passages(n, identity, least):
     """The share of passages with changed words anywhere that the seeds find and the chains confirm."""
