@@ -128,6 +128,21 @@ def _meet(uid: np.ndarray, depth: np.ndarray, tree: np.ndarray, high: np.ndarray
     return both[0], both[1], heads
 
 
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root), sorted: each node of the edges (a, b) and the smallest one that it is connected with."""
+    node, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    root, x, y = np.arange(len(node)), at[: len(a)], at[len(a) :]
+    while True:
+        rx, ry = root[x], root[y]
+        if (rx == ry).all():
+            return node, node[root]
+        least = np.minimum(rx, ry)
+        np.minimum.at(root, rx, least)
+        np.minimum.at(root, ry, least)
+        while (root != root[root]).any():
+            root = root[root]
+
+
 def _node(tree: np.ndarray, high: np.ndarray, low: np.ndarray, least: int) -> np.ndarray:
     """A hash of a label's prefix of the least depth, and of its tree."""
     high, low = (high, low >> U64(16 * (DEPTH - least))) if least > 4 else (high >> U64(16 * (4 - least)), low * U64(0))
@@ -135,7 +150,8 @@ def _node(tree: np.ndarray, high: np.ndarray, low: np.ndarray, least: int) -> np
 
 
 def met(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> DataFrame:
-    """a, b: uids of docs (uid, text) that meet below a node of the forest, each with one text of the node."""
+    """a, b: uids of docs (uid, text) that are connected like those that meet below a node of the forest: within a task each with
+    the smallest one that it is connected with there, which then stands for it, so that a text is in few rows."""
     least = int(depths(threshold).min())
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,6 +165,11 @@ def met(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> Data
             uid, depth, tree, high, low = (x[by] for x in (uid, depth, tree, high, low))
             a, b, heads = _meet(uid, depth, tree, high, low, least)
             uid, depth, tree, high, low = (x[heads] for x in (uid, depth, tree, high, low))
+            node, root = _stars(a, b)
+            if len(node):
+                at = np.minimum(np.searchsorted(node, uid), len(node) - 1)
+                uid = np.where(node[at] == uid, root[at], uid)
+            a, b = root[root != node], node[root != node]
             zeros = np.zeros(len(a), np.int64)
             node = pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(_node(tree, high, low, least).view(np.int64))])
             columns = [(zeros, tree), (zeros, high.view(np.int64)), (zeros, low.view(np.int64)), (zeros, depth), (a, uid), (b, np.zeros(len(uid), np.int64))]
@@ -167,7 +188,8 @@ def met(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> Data
 
         def pairs(node, tree, high, low, depth, uid) -> pa.RecordBatch:
             a, b, _ = _meet(uid, depth, tree, high.view(U64), low.view(U64), least)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            found, root = _stars(a, b)
+            return pa.RecordBatch.from_arrays([pa.array(root[root != found]), pa.array(found[root != found])], ["a", "b"])
 
         for batch in batches:
             given = batch.column(0).null_count  # links that were made within a task come first
@@ -203,8 +225,8 @@ def shingle_sets(docs: DataFrame, *keep: str, k: int = SHINGLE) -> DataFrame:
     return docs.mapInArrow(run, docs.select(*keep).schema.add("shingles", "binary"))
 
 
-def similar(sets: list[np.ndarray], threshold: float, split: int | None) -> np.ndarray:
-    """Which pairs of sets have that similarity. split: only pairs across this place count (None: all of different places)."""
+def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which pairs of sets of different places have that similarity."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.float32)
     both, of = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
@@ -225,13 +247,12 @@ def similar(sets: list[np.ndarray], threshold: float, split: int | None) -> np.n
     # intersection / union >= threshold, in whole numbers but for the threshold itself
     found = common_ >= threshold * (sizes[:, None] + sizes[None, :] - common_) - 1e-3
     np.fill_diagonal(found, False)
-    if split is not None:
-        found[:split, :split] = found[split:, split:] = False
     return found
 
 
 def _verify(threshold: float):
-    """Rows sorted by block pair -> (key, links, root): how many rows of other texts, and which node, each is linked with."""
+    """Rows sorted by block pair -> (key, links, root): how many rows of other texts each is linked with, and a text that
+    it is connected with. Of two blocks, only the smallest of those that are connected within a block has a root."""
 
     def roots(found: np.ndarray) -> np.ndarray:
         root = np.arange(len(found))
@@ -250,10 +271,16 @@ def _verify(threshold: float):
         if across and (split == 0 or split == len(rows)) or len(rows) < 2:
             return []
         sets = [np.frombuffer(r[3], U64) for r in rows]
-        found = similar(sets, threshold, split if across else None)
-        weights = np.array([r[2] for r in rows])
-        links, root = found @ weights, roots(found)
-        return [(r[0], int(n), rows[t][0]) for r, n, t in zip(rows, links, root, strict=True) if n]
+        weights, here = np.array([r[2] for r in rows]), np.arange(len(rows))
+        found = similar(sets, threshold)
+        if not across:
+            links, root = found @ weights, roots(found)
+            return [(r[0], int(n), rows[t][0]) for r, n, t in zip(rows, links, root, strict=True) if n]
+        inner = found & ((here < split)[:, None] == (here < split)[None, :])
+        root = roots(found)
+        stands = (roots(inner) == here) & (root != here)
+        links = (found & ~inner) @ weights
+        return [(r[0], int(n), rows[t][0] if s else None) for r, n, t, s in zip(rows, links, root, stands, strict=True) if n or s]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
@@ -299,7 +326,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE) -> Dat
     pairs = pairs.select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "key", (F.col("block") > F.col("other")).cast("int").alias("side"), "n_copies", "shingles")
     pairs = pairs.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
     linked = common.store(pairs.mapInArrow(_verify(threshold), "key string, links long, root string"), "links")
-    roots = graph.components(linked.select(F.col("root").alias("a"), F.col("key").alias("b")))
+    roots = graph.components(linked.where("root IS NOT NULL").select(F.col("root").alias("a"), F.col("key").alias("b")))
     total = linked.groupBy("key").agg(F.sum("links").alias("links")).join(roots.withColumnRenamed("node", "key"), "key", "left")
     out = classes.drop("uid").join(total, "key", "left")
     return out.select("key", "doc_id", "n_copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "key").alias("root"))

@@ -106,6 +106,29 @@ def test_met_equals_common_prefixes(spark, docs_of):
     assert got == {x: find(x) for x in root if find(x) != x} and len(set(got.values())) == 7
 
 
+def test_edges_grow_with_the_texts_of_a_group(spark, docs_of, monkeypatch):
+    """One group of near copies, over many tasks and blocks: neither what meets nor what is linked has many rows a text."""
+    edges, components = [], graph.components
+    monkeypatch.setattr(graph, "components", lambda df: edges.append(df.distinct().count()) or components(df))
+    monkeypatch.setattr(forest, "CLUSTER_BLOCK", 16)
+    docs = near_copies(17, 1, 320)
+    rows = forest.groups(docs_of(*docs.items()).repartition(20)).collect()
+    want = brute(docs)
+    assert sorted((r.class_id, r.n_links) for r in rows) == sorted({t: want[d] for d, t in docs.items()}.values())
+    assert len(edges) == 2 and max(edges) < 3 * len(docs)
+
+
+def test_stars():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 30, 300):
+        a, b = rng.integers(-200, 200, n), rng.integers(-200, 200, n)
+        root = {int(x): int(x) for x in [*a, *b]}
+        for _ in root:
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                root[x] = root[y] = min(root[x], root[y])
+        assert dict(zip(*(x.tolist() for x in forest._stars(a, b)), strict=True)) == root
+
+
 def test_join_odd_rows(spark, odd, none, tmp_path):
     for i, df in enumerate((odd, none)):
         df.write.parquet(str(tmp_path / f"{i}" / "documents.parquet"))
