@@ -340,6 +340,48 @@ def test_every_copy_of_a_passage_has_a_match():
         assert all(i * 100 + j in places for i in range(5) for j in range(60))
 
 
+def test_runs_equal_matching_by_rank():
+    rng, voc = random.Random(4), arrays.mixed(np.arange(200, dtype=np.uint64))
+    for _ in range(300):
+        v = rng.choice([2, 4, 20, 200])
+        a, b = (voc[[rng.randrange(v) for _ in range(rng.randrange(60))]] for _ in "ab")
+        where, want = [defaultdict(list), defaultdict(list)], set()
+        for x, places in zip((a, b), where, strict=True):
+            for i in range(len(x) - chains.CHAIN_K + 1):
+                places[tuple(x[i : i + chains.CHAIN_K].tolist())].append(i)
+        for word, p in where[0].items():
+            q = where[1].get(word, [])
+            for i in range(max(len(p), len(q)) if q else 0):
+                want |= {(p[i % len(p)], q[i % len(q)]), (p[-1 - i % len(p)], q[-1 - i % len(q)])}
+        got = chains.runs(a, b)
+        assert got == sorted(got) and {(x + i, y + i) for x, y, n in got for i in range(n - chains.CHAIN_K + 1)} == want
+        assert not {(x + n - chains.CHAIN_K + 1, y + n - chains.CHAIN_K + 1) for x, y, n in got} & want  # runs are whole
+
+
+def test_a_text_is_indexed_once_for_all_its_pairs(monkeypatch):
+    rng, made, kmers = np.random.default_rng(5), [], chains.kmers
+    shared = rng.integers(1, 1 << 62, 60).astype(np.uint64)
+    texts = [np.concatenate((rng.integers(1, 1 << 62, 30 + i).astype(np.uint64), shared, shared[:9])) for i in range(12)]
+    want = [chains.passages(a, b) for a in texts for b in texts]
+    monkeypatch.setattr(chains, "kmers", lambda *a: made.append(a) or kmers(*a))
+    indexed = [chains.Indexed(x) for x in texts]
+    assert [chains.passages(a, b) for a in indexed for b in indexed] == want and all(want) and len(made) == len(texts)
+
+
+def test_finer_seeds_of_many_texts_at_once(monkeypatch):
+    """The same as of each text alone, by one pass over the words of all."""
+    rng, made, kmers = np.random.default_rng(6), [], chains.kmers
+    texts = [rng.integers(1, 1 << 62, n).astype(np.uint64) for n in (0, 300, 5, 49, 50, 120, 0)] + [np.tile(rng.integers(1, 1 << 62, 3).astype(np.uint64), 60)]
+    texts.append(texts[1][20:200])
+    at = np.cumsum([0, *map(len, texts)])
+    crowded = [chains._seeds(x, np.array([0, len(x)]))[1][i % 2 :: 2] for i, x in enumerate(texts)]
+    alone = [chains._finer(x, np.array([0, len(x)]), np.zeros(len(c), np.int64), c)[1].tolist() for x, c in zip(texts, crowded, strict=True)]
+    monkeypatch.setattr(chains, "kmers", lambda *a: made.append(a) or kmers(*a))
+    of = np.repeat(np.arange(len(texts)), list(map(len, crowded)))
+    text, seed = chains._finer(np.concatenate(texts), at, of, np.concatenate(crowded))
+    assert [seed[text == i].tolist() for i in range(len(texts))] == alone and len(made) == 1 and len(alone[1]) > 100
+
+
 def test_best_chain_equals_quadratic():
     rng = random.Random(2)
     for _ in range(200):
