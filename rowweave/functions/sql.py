@@ -57,15 +57,19 @@ def register_schema(spark: SparkSession, name: str, schema: Schema | str, reader
     def many(values: pa.Array) -> pa.Array:
         return decode_many(steps, values)
 
+    for prefix, function in (("encode", encode), ("decode", decode), ("decode_many", many), ("soe", message)):
+        spark.udf.register(f"{prefix}_{name}", function)
     kind = spark_type(as_schema(reader) if reader is not None else schema)
     row = kind if isinstance(kind, T.StructType) else T.StructType([T.StructField("value", kind)])
+    if len({f.name.lower() for f in row.fields}) == len(row.fields):  # inlined, so that whole batches are decoded
+        rows = "inline" if row is kind else "explode"
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION `rows_{name}`(data BINARY) RETURNS TABLE ({row.toDDL()}) RETURN SELECT * FROM {rows}(`decode_many_{name}`(data))")
+        return
 
-    @udtf(returnType=row)
+    @udtf(returnType=row)  # SQL refuses names that differ in case only: each row's bytes in a call of their own
     class Rows:
         def eval(self, data):
             for value in decode_many(steps, pa.array([data], pa.binary())).to_pylist()[0] or ():
                 yield tuple(value.values()) if isinstance(value, dict) else (value,)
 
-    for prefix, function in (("encode", encode), ("decode", decode), ("decode_many", many), ("soe", message)):
-        spark.udf.register(f"{prefix}_{name}", function)
     spark.udtf.register(f"rows_{name}", Rows)

@@ -153,6 +153,24 @@ def test_sql(spark):
     assert [r.a for r in spark.sql("SELECT * FROM rows_r(X'0204')").collect()] == [1, 2]
 
 
+def test_sql_table_function_decodes_batches(spark):
+    """Rows of a table function by lateral join: no call for each row, the same rows for nulls, nothing and columns of any name."""
+    register_schema(spark, "n", '"int"')
+    register_schema(spark, "u", '["null","int"]')
+    register_schema(spark, "k", rec(("select", "int"), ("order", "string")))
+    register_schema(spark, "c", rec(("a", "int"), ("A", "int")))
+    t = spark.createDataFrame([(1, bytearray(b"\2\4")), (2, None), (3, bytearray()), (4, bytearray(b"\6"))], "k int, b binary")
+    out = spark.sql("SELECT k, value FROM {t}, LATERAL rows_n(data => b)", t=t)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "PythonUDTF" not in plan and "Join" not in plan
+    assert sorted(out.collect()) == [(1, 1), (1, 2), (4, 3)]
+    assert sorted(spark.sql("SELECT k, f.value FROM {t}, LATERAL rows_n(concat(b, b)) f WHERE f.value > 1", t=t).collect()) == [(1, 2), (1, 2), (4, 3), (4, 3)]
+    assert sorted(spark.sql("SELECT k, value FROM {t} LEFT JOIN LATERAL rows_n(b) ON true", t=t).collect(), key=str) == [(1, 1), (1, 2), (2, None), (3, None), (4, 3)]
+    assert spark.sql("SELECT value FROM rows_u(X'00020400')").collect() == [(None,), (2,), (None,)]
+    assert spark.sql("SELECT * FROM rows_k(X'020241040242')").collect() == [(1, "A"), (2, "B")]
+    assert spark.sql("SELECT * FROM rows_c(X'0204')").collect() == [(1, 2)]
+
+
 # container files
 
 #: Rows of a weather file.
