@@ -16,6 +16,8 @@ from .rows import default_bytes, write_long
 U64 = np.uint64
 #: Rows are taken in runs of about so many bytes.
 RUN_BYTES = 4 << 20
+#: Rows of more bytes on average are copied one by one: places of single bytes take 8 bytes each, several times.
+LONG = 64
 
 
 class Ragged:
@@ -55,6 +57,10 @@ class Ragged:
             width = p.sizes[0] if n and (p.sizes == p.sizes[0]).all() else -1
             if width == 1:
                 out[at] = p.data
+            elif len(p.data) > LONG * n:
+                into, data, ends = memoryview(out), memoryview(p.data), np.cumsum(p.sizes)
+                for a, b, c, d in zip(at.tolist(), (at + p.sizes).tolist(), (ends - p.sizes).tolist(), ends.tolist(), strict=True):
+                    into[a:b] = data[c:d]
             else:
                 out[ranges(at, p.sizes)] = p.data
             at = at + p.sizes

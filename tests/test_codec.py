@@ -182,6 +182,22 @@ def test_decode_many_and_valid_rows():
     assert values.to_pylist() == [1, None, None, None, 3] and [bool(w) for w in why] == [False, True, False, True, False]
 
 
+def test_long_texts_take_little_memory():
+    """Long texts are laid out without the place of each byte: numpy holds a few times the bytes of a run at most."""
+    import tracemalloc
+
+    s = parse(rec(("a", "long"), ("b", "string"), ("c", "bytes")))
+    texts = [chr(97 + i % 26) * (i % 3000) for i in range(3000)] + ["", "é" * 70]
+    column = pa.array([{"a": i, "b": t, "c": t[:5].encode()} for i, t in enumerate(texts)], arrow_type(spark_type(s)))
+    tracemalloc.start()
+    raw = encode_column(s, column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * column.nbytes
+    assert raw.to_pylist() == [rows.encode(s, s.root, v) for v in column.to_pylist()]
+    assert decode_column(plan(s), raw).equals(column)
+
+
 def test_pruned():
     s = parse(rec(("a", {"type": "enum", "name": "E", "symbols": ["A"]}), ("b", "E"), ("c", ["null", "int"])))
     raw = encode_column(s, pa.array([{"a": "A", "b": "A", "c": 3}]))
