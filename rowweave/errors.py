@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 
 class RowweaveError(ValueError):
     """Base of all errors of this package."""
@@ -23,17 +26,18 @@ class CompatibilityError(RowweaveError):
 
 
 class DataError(RowweaveError):
-    """A value that doesn't fit its schema, or bytes that can't be read."""
+    """A value that doesn't fit its schema, or bytes that can't be read. rows: those of a batch that are at fault, where that is
+    known, and say: the detail of each, by its place in rows."""
 
-    def __init__(self, path: str, detail: str):
+    def __init__(self, path: str, detail: str, rows: Any = None, say: Callable[[int], str] | None = None):
         super().__init__(f"{path}: {detail}" if path else detail)
-        self.path, self.detail = path, detail
+        self.path, self.detail, self.rows, self.say = path, detail, rows, say
 
     def __reduce__(self):
         return type(self), (self.path, self.detail)
 
     def under(self, name: str) -> DataError:
-        return type(self)(f"{name}.{self.path}" if self.path else name, self.detail)
+        return type(self)(f"{name}.{self.path}" if self.path else name, self.detail, self.rows, self.say)
 
 
 class ShortBufferError(DataError):

@@ -91,7 +91,7 @@ def decode_avro(column: Column | str, writer: Schema | str, reader: Schema | str
 
         @F.arrow_udf(kind)
         def run(values: pa.Array) -> pa.Array:
-            return valid_rows(steps, values)[0]
+            return valid_rows(steps, values, reasons=False)[0]
 
     else:
 

@@ -272,6 +272,59 @@ def schema_json(schema):
     return json.loads(schema.to_json())
 
 
+def alone(steps, b):
+    try:
+        return decode_column(steps, pa.array([b], pa.binary())).to_pylist()[0], None
+    except DataError as e:
+        return None, str(e)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.data())
+def test_damaged_rows_are_told_as_if_alone(data):
+    schema = parse(named(data.draw(nested(LEAVES)), []))
+    values = data.draw(st.lists(raw_values(schema, schema.root), min_size=1, max_size=12))
+    raw = [rows.encode(schema, schema.root, v) for v in values]
+    change = st.sampled_from([lambda b: b, lambda b: b[: len(b) // 2], lambda b: b[:-1], lambda b: b + b"\0", lambda b: b"\xff" * 9 + b, lambda b: b[: len(b) // 2] + b"\x8f" + b[len(b) // 2 :], lambda b: None])
+    raw = [data.draw(change)(b) for b in raw]
+    outer = {"type": "record", "name": "Outer", "fields": [{"name": "v", "type": schema_json(schema)}]}
+    for steps in (plan(schema), plan(parse(outer)), plan(parse(outer), parse({"type": "record", "name": "Outer", "fields": []}))):
+        column, why = valid_rows(steps, pa.array(raw, pa.binary()))
+        want = [(None, None) if b is None else alone(steps, b) for b in raw]
+        assert repr(column.to_pylist()) == repr([v for v, _ in want]) and why == [w for _, w in want]
+        assert valid_rows(steps, pa.array([None, *raw], pa.binary())[1:], reasons=False)[0].equals(column)
+
+
+LOGICAL = [
+    ({"type": "enum", "name": "E", "symbols": ["A", "B"]}, None, [b"\0", b"\2", b"\4", b"\1"]),
+    ({"type": "long", "logicalType": "timestamp-millis"}, None, [b"\2", b"\xfe" + b"\xff" * 8 + b"\1", b"\xff" * 9 + b"\1"]),
+    ({"type": "bytes", "logicalType": "decimal", "precision": 3, "scale": 1}, None, [b"\4\3\xe7", b"\4\3\xe8", b"\4\xfc\x19", b"\4\xfc\x18", b"\x24" + b"\1" * 18, b"\x24" + b"\0" * 18]),
+    (["int", "string"], None, [b"\0\2", b"\2\2A", b"\4", b"\1"]),
+]
+
+
+@pytest.mark.parametrize("writer, reader, raw", LOGICAL)
+def test_refused_values_are_told_as_if_alone(writer, reader, raw):
+    steps = plan(parse(writer), None if reader is None else parse(reader))
+    column, why = valid_rows(steps, pa.array(raw, pa.binary()))
+    want = [alone(steps, b) for b in raw]
+    assert column.to_pylist() == [v for v, _ in want] and why == [w for _, w in want]
+    assert any(why) and not all(why)
+
+
+def test_bad_rows_take_no_pass_each(monkeypatch):
+    """A batch is read again for each step that fails, not for each row."""
+    from rowweave.operators import decode
+
+    passes = []
+    monkeypatch.setattr(decode, "Decoder", lambda b, real=decode.Decoder: passes.append(1) or real(b))
+    longs = encode_column(parse("long"), pa.array([i + (i % 2 << 40) for i in range(2000)]))
+    column, why = valid_rows(plan(parse("int")), longs)
+    assert column.to_pylist() == [None if i % 2 else i for i in range(2000)]
+    assert why == ["a varint is too long" if i % 2 else None for i in range(2000)]
+    assert len(passes) < 10
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.binary(max_size=40))
 def test_any_bytes_are_read_or_refused(raw):
